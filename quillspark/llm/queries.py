@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, quality, toxicity
+from . import decontaminate, fingerprint, neardup, quality, toxicity
 from .common import read_table, remainder
 
 
@@ -31,5 +31,9 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select("doc_id", held, "text"), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quartile_fingerprints, op3_compression_quality, op4_benchmark_decontamination, op5_counterfactual_toxicity)}
+def op9_fast_similarity_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quartile_fingerprints, op3_compression_quality, op4_benchmark_decontamination, op5_counterfactual_toxicity, op9_fast_similarity_near_duplicates)}
 ORACLES: dict[str, str] = {}
