@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, neardup, quality, toxicity
+from . import chunks, decontaminate, fingerprint, mixture, neardup, quality, toxicity
 from .common import read_table, remainder
 
 
@@ -13,6 +13,10 @@ def op1_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.learn_quality(docs, labels, remainder(F.col("doc_id"), 4) != 2)
@@ -35,5 +39,21 @@ def op9_fast_similarity_near_duplicates(spark: SparkSession, sf_dir: str) -> Dat
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quartile_fingerprints, op3_compression_quality, op4_benchmark_decontamination, op5_counterfactual_toxicity, op9_fast_similarity_near_duplicates)}
-ORACLES: dict[str, str] = {}
+def op10_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.dedup_substrings(docs)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quartile_fingerprints,
+        op2_pareto_mixture,
+        op3_compression_quality,
+        op4_benchmark_decontamination,
+        op5_counterfactual_toxicity,
+        op9_fast_similarity_near_duplicates,
+        op10_gear_chunk_dedup,
+    )
+}
+ORACLES = {"op2_pareto_mixture": mixture.SQL}
