@@ -91,7 +91,7 @@ def test_hard_cuts(line, budget):
 
 
 def test_sentences():
-    assert D.sentences("See fig. A here. Next one e.g. This stays. 7. No.\n\nA。B！ C") == ["See fig. A here.", "Next one e.g.", "This stays.", "7. No.", "A。", "B！", "C"]
+    assert D.sentences("See fig. A here. Next one e.g. This stays. 7. No.\n\nA。B！ C") == ["See fig. A here.", "Next one e.g.", "This stays. 7. No.", "A。", "B！", "C"]
 
 
 def test_files(spark, tmp_path):
