@@ -203,7 +203,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     sketches = written(sketch_documents(documents, shingle=shingle, bands=bands, rows=rows), "sketches")
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # As a table, classes aren't dealt by digest, and joins may split the rows of a digest that many documents share.
+    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("first")), "digests")
     firsts = named.alias("n").join(classes.alias("c"), (F.col("n.digest") == F.col("c.digest")) & (F.col("n.doc_id") == F.col("c.first")), "left_semi")
     firsts = written(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "keys"), "classes")
     banded = firsts.select("id", "n_shingles", F.explode("keys").alias("key"))
