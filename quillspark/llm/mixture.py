@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BINS = 1 << 16
+#: Bins to a coarse bin.
+COARSE = 1 << 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,6 +54,14 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[int], total_percent: i
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _first_beyond(bins: DataFrame, order: str) -> DataFrame:
+    """bins: of, an order, words, rest and from. Of each source the first bin that goes beyond rest, with the words before it."""
+    earlier = Window.partitionBy("of").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.col("from") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    first = bins.filter(F.col("before") + F.col("words") > F.col("rest")).groupBy("of").agg(F.min(F.struct(order, "before")).alias("e"))
+    return first.select("of", f"e.{order}", "e.before")
+
+
 def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_percent: int = 150, max_copies: int = 2, seed: str = "mix", passed: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row, after the passed columns of documents."""
     sizes = documents.select("doc_id", "source", F.struct(F.lit(True).alias("_"), *passed).alias("passed"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
@@ -65,11 +75,12 @@ def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_perce
     rank = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0)
     ranked = sizes.join(targets, same).withColumn("rank", rank).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)))
     bins = ranked.groupBy("of", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    in_order = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
-    # The sample ends in the first bin that doesn't fit whole.
-    ends = bins.filter(F.col("before") + F.col("words") > F.col("rest")).groupBy("of").agg(F.min(F.struct("bin", "before")).alias("e"))
-    ends = written(ends.select(F.col("of").alias("end_of"), F.col("e.bin").alias("end"), F.col("e.before").alias("before")), "ends")
+    bins = written(bins.withColumn("coarse", F.floor(F.col("bin") / COARSE)), "bins")
+    # The sample ends in the first bin that doesn't fit whole: found among the coarse bins, then within one.
+    coarse = _first_beyond(bins.groupBy("of", "coarse").agg(F.sum("words").alias("words"), F.first("rest").alias("rest")).withColumn("from", F.lit(0).cast("long")), "coarse")
+    fine = bins.join(coarse.select(F.col("of").alias("_of"), F.col("coarse").alias("_coarse"), F.col("before").alias("from")), F.col("of").eqNullSafe(F.col("_of")) & (F.col("coarse") == F.col("_coarse")))
+    ends = _first_beyond(fine.select("of", "bin", "words", "rest", "from"), "bin")
+    ends = written(ends.select(F.col("of").alias("end_of"), F.col("bin").alias("end"), "before"), "ends")
     placed = ranked.join(ends, F.col("of").eqNullSafe(F.col("end_of")), "left")
     apart = F.col("end").isNull() | (F.col("bin") != F.col("end"))
     rest = placed.filter(apart).withColumn("more", (F.col("p") > 0) & (F.col("end").isNull() | (F.col("bin") < F.col("end"))))
