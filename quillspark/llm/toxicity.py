@@ -14,6 +14,7 @@ share of label 1 (0 without any label).
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -106,7 +107,7 @@ def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, ma
     if not n1 or not n0 or {r[2] for r in rows} != {0, 1}:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return ToxicityModel(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    words = [set(LETTERS.findall(text.lower())) for _, text, _ in rows]
+    words = [{sys.intern(w) for w in LETTERS.findall(text.lower())} for _, text, _ in rows]
     y = np.array([r[2] for r in rows], float)
     counts = {0: Counter(), 1: Counter()}
     for ws, (_, _, label) in zip(words, rows, strict=True):
@@ -117,7 +118,7 @@ def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, ma
         p1, p0 = counts[1][f] / size[1], counts[0][f] / size[0]
         return abs(p1 - p0) * abs(np.log((counts[1][f] + 0.5) / (size[1] + 1)) - np.log((counts[0][f] + 0.5) / (size[0] + 1)))
 
-    frequent = [f for f in counts[0] | counts[1] if counts[0][f] + counts[1][f] >= min_count]
+    frequent = [f for f, n in counts[1].items() if n + counts[0][f] >= min_count] + [f for f, n in counts[0].items() if n >= min_count and f not in counts[1]]
     chosen = sorted(frequent, key=lambda f: (-gain(f), f))[:max_features]
     chosen = sorted(set(chosen) | {t for t in SWAP if counts[0][t] + counts[1][t]})
     index = {f: i for i, f in enumerate(chosen)}
@@ -155,7 +156,7 @@ def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, ma
     return ToxicityModel(float(b), {f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6})
 
 
-def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 4000, **options) -> ToxicityModel:
+def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 3000, **options) -> ToxicityModel:
     """Fit on at most per_class labelled rows of each class, among those where learn holds."""
     rows, totals = labelled_sample(documents, labels, "toxic", learn, per_class)
     return fit_toxicity(rows, totals, **options)
