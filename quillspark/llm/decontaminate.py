@@ -211,3 +211,25 @@ def mark_contaminated(documents: DataFrame, benchmark: DataFrame, *, window: int
 
     columns = list(dict.fromkeys([*keep, "text"]))
     return finish(documents.select(*columns).mapInArrow(run, schema))
+
+
+#: SQL for mark_contaminated() with its default parameters.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark WHERE item_id IS NOT NULL
+), k AS (
+  SELECT DISTINCT item_id, least(len(l), 10) AS n, unnest(list_transform(range(1, greatest(len(l) - 9, 1) + 1), lambda j: array_to_string(l[j:j + 9], ' '))) AS g FROM i WHERE len(l) > 0
+), p AS (
+  SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM k) WHERE len(l) >= n
+), h AS (
+  SELECT doc_id, item_id, p.n, j FROM p JOIN k ON k.n = p.n AND k.g = array_to_string(p.l[j:j + p.n - 1], ' ')
+), x AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS w FROM h) GROUP BY doc_id
+), y AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""

@@ -85,4 +85,10 @@ QUERIES = {
         op10_gear_chunk_dedup,
     )
 }
-ORACLES = {"op2_pareto_mixture": mixture.SQL, "op7_host_reputation": reputation.SQL, "op8_zip_warc": archives.SQL}
+ORACLES = {
+    "op2_pareto_mixture": mixture.SQL,
+    "op4_benchmark_decontamination": decontaminate.SQL,
+    "op7_host_reputation": reputation.SQL,
+    "op8_zip_warc": archives.SQL,
+    "op9_fast_similarity_near_duplicates": neardup.SQL,
+}
