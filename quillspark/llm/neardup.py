@@ -245,7 +245,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85
 
 
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """documents without the rows of ids that near_duplicates() doesn't keep; an id's repeated rows are cut to one text each."""
+    """documents without the rows of ids that near_duplicates() doesn't keep; rows that repeat a kept doc_id all stay."""
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 
