@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = b" " * 16
-MAX_BYTES = 1024
+MAX_BYTES = 256
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
