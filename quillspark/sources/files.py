@@ -25,12 +25,12 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, kind, file_hash, text and error of every file; text is null where no parser is at hand."""
+    """path, kind, modified, file_hash, text and error of every file; text is null where no parser is at hand."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*EXCLUDED))).withColumn("kind", suffix(F.col("path")))
     readable = F.col("kind").isin(*PARSERS)
     error = F.when(~F.col("kind").isin(*SUFFIXES), F.concat(F.lit("unsupported document format: ."), F.col("kind"))).when(~readable, F.concat(F.lit("no parser installed for ."), F.col("kind")))
-    return files.select("path", "kind", F.sha2("content", 256).alias("file_hash"), F.when(readable, decoded(F.col("content"))).alias("text"), error.alias("error"))
+    return files.select("path", "kind", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"), F.when(readable, decoded(F.col("content"))).alias("text"), error.alias("error"))
 
 
 def inventory(files: DataFrame, *, max_bytes: int, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_files: int | None = None) -> DataFrame:
