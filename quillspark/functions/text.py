@@ -10,15 +10,15 @@ import hashlib
 import re
 from collections import Counter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
 PLACEHOLDERS = ("", "待提供", "待填写", "待确认", "unknown", "none", "null", "n/a")
 STOPGRAMS = ("如果", "哪些", "什么", "这个", "那个", "一下", "一个", "如何", "需要", "应该", "请综", "综合", "说明")
 SYNONYMS = (("出境", "跨境", "境外", "海外"), ("审批", "评估", "审核", "批准"), ("限制", "约束", "要求", "规则"), ("风险", "隐患", "问题"))
-LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
-BLANKS = r"(?U)[\s\x1C-\x1F]+"
+BREAKS, BLANKS = r"\n\r\x0B\x0C\x1C-\x1E\x85", r" \t\x1F\xA0"
+RARE_BREAKS, RARE_BLANKS = r"\x{2028}\x{2029}", r"\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 ASCII_TOKEN = r"[a-z0-9_./=-]+"
 MEMORY_TOKEN = r"[a-z0-9_./-]+"
 CJK_RUN = r"[一-鿿]+"
@@ -27,8 +27,14 @@ CLAUSE_BREAK = r"[，,。；;：:\n]+"
 
 def normalize_space(text: Column) -> Column:
     """Lines with their blanks collapsed and ends trimmed, without empty lines."""
-    lines = F.transform(F.split(text, LINE_BREAKS), lambda x: F.regexp_replace(F.regexp_replace(x, BLANKS, " "), "^ | $", ""))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+    def flat(breaks: str, blanks: str) -> Column:
+        even = F.regexp_replace(text, f"[{blanks}]{{2,}}|[{blanks.removeprefix(' ')}]", " ")
+        return F.trim(F.regexp_replace(even, f" ?[{breaks}][ {breaks}]*", "\n"), F.lit(" \n"))
+
+    # Classes below 256 are bit sets to the regex engine; others are met only where a text has such characters.
+    rare = text.rlike(r"[\x{1680}-\x{3000}]")
+    return F.when(rare, flat(BREAKS + RARE_BREAKS, BLANKS + RARE_BLANKS)).otherwise(flat(BREAKS, BLANKS))
 
 
 def normalized(text: str) -> str:
@@ -73,8 +79,12 @@ def chunk_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), wide + F.floor((F.length(text) - wide) / 4)).cast("long")
 
 
+def wide_chars(text: str) -> int:
+    return 0 if text.isascii() else len(re.findall("[一-鿿぀-ヿ가-힯]", text))
+
+
 def chunk_tokens_of(text: str) -> int:
-    wide = sum("一" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯" for c in text)
+    wide = wide_chars(text)
     return max(1, wide + (len(text) - wide) // 4)
 
 
@@ -98,12 +108,15 @@ def cjk_grams(run: Column, stop: tuple[str, ...], longest: int = 4, whole: int =
     return F.filter(grams, lambda g: ~g.isin(*stop)) if stop else grams
 
 
+def _runs(low: Column, pattern: str) -> Column:
+    """Runs of two characters or more of a class; blanks end a run, so text needn't be normalised first."""
+    return F.regexp_extract_all(low, F.lit(f"{pattern.rstrip('+')}{{2,}}"), F.lit(0))
+
+
 def search_tokens(text: Column) -> Column:
-    """Tokens, repeats kept, of text that is normalised and lower-cased here."""
-    low = F.lower(normalize_space(text))
-    plain = F.filter(F.regexp_extract_all(low, F.lit(ASCII_TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
-    runs = F.filter(F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0)), lambda t: F.length(t) >= 2)
-    return F.concat(plain, F.flatten(F.transform(runs, lambda r: cjk_grams(r, STOPGRAMS))))
+    """Tokens, repeats kept, of text that is lower-cased here."""
+    low = F.lower(text)
+    return F.concat(_runs(low, ASCII_TOKEN), F.flatten(F.transform(_runs(low, CJK_RUN), lambda r: cjk_grams(r, STOPGRAMS))))
 
 
 def search_tokens_of(text: str) -> Counter[str]:
@@ -119,10 +132,9 @@ def search_tokens_of(text: str) -> Counter[str]:
 
 def memory_tokens(text: Column) -> Column:
     """Distinct tokens of a remembered pattern: ASCII ones, and pairs of CJK characters."""
-    low = F.lower(normalize_space(text))
-    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0))
-    pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 2), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))))
-    return F.array_distinct(F.concat(F.filter(F.regexp_extract_all(low, F.lit(MEMORY_TOKEN), F.lit(0)), lambda t: F.length(t) >= 2), pairs))
+    low = F.lower(text)
+    pairs = F.flatten(F.transform(_runs(low, CJK_RUN), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))))
+    return F.array_distinct(F.concat(_runs(low, MEMORY_TOKEN), pairs))
 
 
 def _by_length(term: Column, plain: tuple[float, float, float], other: tuple[float, float, float]) -> Column:
@@ -146,22 +158,26 @@ def feature_weight(token: Column) -> Column:
     return _by_length(token, (2.4, 1.8, 1.2), (1.6, 1.25, 1.0))
 
 
-def sparse_features(text: Column, concepts: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()) -> Column:
-    """(feature, weight) pairs, repeats kept: tokens, parts of tokens with _, CJK runs, synonym groups and concepts."""
-    low = F.lower(normalize_space(text))
-    pair = lambda name, weight: F.struct(name.alias("feature"), weight.cast("double").alias("weight"))
-    plain = F.filter(F.regexp_extract_all(low, F.lit(ASCII_TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
-    tokens = F.transform(plain, lambda t: pair(F.concat(F.lit("ascii:"), t), feature_weight(t)))
-    split = F.flatten(F.transform(F.filter(plain, lambda t: t.contains("_")), lambda t: F.filter(F.split(t, "_"), lambda p: F.length(p) >= 2)))
-    parts = F.transform(split, lambda p: pair(F.concat(F.lit("ascii:"), p), F.lit(0.7)))
-    runs = F.filter(F.regexp_extract_all(low, F.lit(CJK_RUN), F.lit(0)), lambda r: F.length(r) >= 2)
-    grams = F.transform(F.flatten(F.transform(runs, lambda r: cjk_grams(r, (), whole=0))), lambda g: pair(F.concat(F.lit("cjk:"), g), feature_weight(g)))
-    whole = F.transform(F.filter(runs, lambda r: F.length(r) <= 8), lambda r: pair(F.concat(F.lit("cjk:"), r), feature_weight(r) + 0.4))
-    groups = [F.when(low.rlike("|".join(g)), pair(F.lit("syn:" + "|".join(g)), F.lit(1.2))) for g in SYNONYMS]
-    for name, wide, ascii_ in concepts:
-        hit = low.rlike("|".join([*wide, *(r"(?<![a-z0-9])" + re.escape(a) for a in ascii_)]))
-        groups.append(F.when(hit, pair(F.lit(f"concept:{name}"), F.lit(1.4))))
-    return F.concat(tokens, parts, grams, whole, F.array_compact(F.array(*groups)))
+def feature_weights(frame: DataFrame, key: str, text: Column, concepts: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()) -> DataFrame:
+    """key, feature and weight: the summed sparse features of each row's text.
+
+    Tokens, parts of tokens with _, CJK runs, synonym groups and concepts. Tokens are counted by row first, so
+    weights and parts are made once for each.
+    """
+    rows = frame.select(key, F.lower(text).alias("low"))
+    tokens = rows.select(key, F.explode(_runs(F.col("low"), ASCII_TOKEN)).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
+    plain = tokens.select(key, F.concat(F.lit("ascii:"), "t").alias("feature"), (feature_weight(F.col("t")) * F.col("n")).alias("weight"))
+    split = tokens.filter(F.col("t").contains("_")).select(key, "n", F.explode(F.split("t", "_")).alias("p")).filter(F.length("p") >= 2)
+    parts = split.select(key, F.concat(F.lit("ascii:"), "p").alias("feature"), (F.col("n") * 0.7).alias("weight"))
+    runs = rows.filter(F.col("low").rlike(CJK_RUN)).select(key, F.explode(_runs(F.col("low"), CJK_RUN)).alias("r"))
+    grams = runs.select(key, F.explode(cjk_grams(F.col("r"), (), whole=0)).alias("g")).select(key, F.concat(F.lit("cjk:"), "g").alias("feature"), feature_weight(F.col("g")).alias("weight"))
+    whole = runs.filter(F.length("r") <= 8).select(key, F.concat(F.lit("cjk:"), "r").alias("feature"), (feature_weight(F.col("r")) + 0.4).alias("weight"))
+    marks = [(r"|".join(g), "syn:" + "|".join(g), 1.2) for g in SYNONYMS]
+    marks += [("|".join([*wide, *(r"(?<![a-z0-9])" + re.escape(a) for a in ascii_)]), f"concept:{name}", 1.4) for name, wide, ascii_ in concepts]
+    found = F.array_compact(F.array(*(F.when(F.col("low").rlike(p), F.struct(F.lit(name).alias("feature"), F.lit(w).alias("weight"))) for p, name, w in marks)))
+    shared = rows.select(key, F.inline(found))
+    every = plain.unionByName(parts).unionByName(grams).unionByName(whole).unionByName(shared)
+    return every.groupBy(key, "feature").agg(F.sum("weight").alias("weight"))
 
 
 def clauses_of(query: str) -> list[str]:

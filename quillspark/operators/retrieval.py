@@ -92,16 +92,15 @@ def postings(units: DataFrame) -> DataFrame:
 
 
 def sparse_index(units: DataFrame, concepts: tuple = ()) -> DataFrame:
-    rows = units.select("chunk_id", F.explode(T.sparse_features(F.concat_ws("\n", "title", F.array_join("section_titles", "\n"), "text"), concepts)).alias("f"))
-    return rows.groupBy("chunk_id", F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("weight"))
+    return T.feature_weights(units, "chunk_id", F.concat_ws("\n", "title", F.array_join("section_titles", "\n"), "text"), concepts)
 
 
 def sparse_hits(index: DataFrame, n_units: int, query: str, limit: int, concepts: tuple = ()) -> DataFrame:
     """chunk_id, similarity: the nearest units by idf-weighted cosine; frequencies count every unit."""
     spark = index.sparkSession
     idf = index.groupBy("feature").agg(F.log(1 + (F.lit(float(n_units)) + 1) / (F.count("*") + 1)).alias("idf"))
-    asked = spark.createDataFrame([(query,)], "text string").select(F.explode(T.sparse_features(F.col("text"), concepts)).alias("f"))
-    asked = asked.groupBy(F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("q")).join(idf, "feature", "left").select("feature", (F.col("q") * F.coalesce("idf", F.lit(1.0))).alias("q"))
+    asked = T.feature_weights(spark.createDataFrame([(0, query)], "id int, text string"), "id", F.col("text"), concepts)
+    asked = asked.withColumnRenamed("weight", "q").join(idf, "feature", "left").select("feature", (F.col("q") * F.coalesce("idf", F.lit(1.0))).alias("q"))
     scored = index.join(idf, "feature").join(F.broadcast(asked), "feature", "left").withColumn("w", F.col("weight") * F.col("idf"))
     sums = scored.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))

@@ -33,8 +33,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Chunks stay with their documents' rows: parsing and packing are one stage after one shuffle.
-    return D.chunks(D.canonical(_versions(spark, sf_dir)), drop_unsectioned=False)
+    return D.chunk_documents(_versions(spark, sf_dir), drop_unsectioned=False)
 
 
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def artefact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of blocks and chunks, with the decisions that the default policy makes of them."""
     blocks = D.canonical(_versions(spark, sf_dir)).withColumn("page_start", F.lit(None).cast("int")).withColumn("page_end", F.lit(None).cast("int"))
     blocks = blocks.persist()  # read by ten detectors
-    signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(D.chunks(blocks, drop_unsectioned=False), blocks))
+    signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(_chunks(spark, sf_dir).persist(), blocks))
     return Q.decisions(signals).select("reason_code", "document_version_id", "object_id", "recommended_action", "effective_action", "decision_id")
 
 

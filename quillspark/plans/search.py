@@ -30,7 +30,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def times(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term)).cast("double")
+    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
 
 
 def bm25(frame: DataFrame, terms: dict[str, int]) -> DataFrame:
@@ -139,8 +139,7 @@ WHERE len(list_filter(w, lambda x: starts_with(x, 'oner'))) > 0 AND len(list_fil
 
 def feature_table(frame: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, feature and weight: the summed sparse features of a text column."""
-    rows = frame.select(key, F.explode(T.sparse_features(F.col("text"))).alias("f")).select(key, "f.feature", "f.weight")
-    return rows.groupBy(key, "feature").agg(F.sum("weight").alias("weight"))
+    return T.feature_weights(frame, key, F.col("text"))
 
 
 def feature_frequencies(features: DataFrame) -> DataFrame:

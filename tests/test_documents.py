@@ -28,9 +28,8 @@ def test_text_functions(spark):
 
 
 def test_sparse_features(spark):
-    got = {}
-    for f in one(spark, "run io_file 海外批准", lambda c: T.sparse_features(c, (("run", (), ("run",)),))):
-        got[f.feature] = round(got.get(f.feature, 0) + f.weight, 6)
+    frame = spark.createDataFrame([(1, "run io_file 海外批准")], "id int, text string")
+    got = {r.feature: round(r.weight, 6) for r in T.feature_weights(frame, "id", F.col("text"), (("run", (), ("run",)),)).collect()}
     assert got["ascii:io_file"] == 1.8 and got["ascii:io"] == 0.7 and got["concept:run"] == 1.4
     assert got["syn:出境|跨境|境外|海外"] == 1.2 and got["cjk:海外批准"] == 1.6 + 2.0
 
@@ -63,6 +62,8 @@ def test_canonical_and_chunks(spark):
     assert [(r.document_version_id, r.text) for r in got] == [("v1", "Top\n\nAlpha paragraph here."), ("v1", "Sub\n\n| k | v |\n| 1 | 2 |"), ("v1", "Next\n\nBeta paragraph here.")]
     assert got[0].evidence_ids == [rows[0].evidence_id, rows[1].evidence_id] and got[0].chunk_id == T.stable_id_of("chunk", "v1", got[0].text)
     assert D.chunks(blocks, drop_unsectioned=False).filter("document_version_id = 'v2'").count() == 1
+    direct = D.chunk_documents(docs).select(*D.chunks(blocks).columns)
+    assert sorted(map(repr, direct.collect())) == sorted(map(repr, D.chunks(blocks).collect()))
     titles = {tuple(r.section_path): r.title for r in D.sections(blocks).filter("document_version_id = 'v1'").collect()}
     assert titles == {("1",): "Top", ("1", "1"): "Sub", ("2",): "Next"}
     gate = {r.document_version_id: r.allowed for r in D.gate(D.generic_quality(blocks)).collect()}
