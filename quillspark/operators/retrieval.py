@@ -7,6 +7,7 @@ ones) runs over at most `pool` candidates of one query.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -383,6 +384,29 @@ def remembered(memory: DataFrame, query: str, threshold: float = 0.5) -> DataFra
     return best.withColumn("weight", weight).orderBy(F.desc(F.col("score") * F.greatest("confidence", F.lit(0.01))), "memory_id")
 
 
+def plain_query(query: str) -> str:
+    """A question without Markdown: heading marks, list marks and numbering go, lines stay."""
+    lines = (re.sub(r"^(?:[-*]|\d+[.)])\s+", "", re.sub(r"^#+\s*", "", line.strip())) for line in query.splitlines())
+    return T.normalized("\n".join(re.sub(r"[`*#>]", "", line) for line in lines)) or query.strip()
+
+
+def reference_items(markdown: str) -> list[str]:
+    """The list items of a reference answer, without marks and notes on evidence."""
+    found = (re.match(r"(?:[-*]|\d+\.)\s+(.*)", line.strip()) for line in markdown.splitlines())
+    items = (T.normalized(re.sub(r"[（(]\s*(?:证据|evidence)[^)）]*[)）]", "", m[1])) for m in found if m)
+    return list(dict.fromkeys(i for i in items if i))
+
+
+def query_variants(text: str, expansions: Sequence[tuple[str, float]] = (), planner: Callable[[str, str], Sequence[str]] | None = None) -> list[tuple[str, float]]:
+    """The question and its expansions with the largest weight of each text, heaviest first; a planner's count 0.8."""
+    best: dict[str, float] = {}
+    extra = [(t, 0.8) for t in planner(text, intent_of(text))] if planner else []
+    for t, w in [(text, 1.0), *expansions, *extra]:
+        if t.strip():
+            best[t.strip()] = max(w, best.get(t.strip(), 0.0))
+    return sorted(best.items(), key=lambda x: -x[1])
+
+
 def reranked(rows: list[dict], signals: Sequence[str]) -> list[dict]:
     """Stable order by how many of the signals a chunk's titles hold."""
     bonus = lambda r: sum(s in " ".join([r["title"], *r["section_titles"]]).lower() for s in signals)
