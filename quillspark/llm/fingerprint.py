@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 128
+SHIFT = 32 - (BUCKETS - 1).bit_length()
 #: Offsets of the triplets within a window of five bytes that begin with its first byte.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -34,7 +35,7 @@ LENGTH_STEPS = 255
 #: The cost of a difference of so many quartiles.
 COST = np.array([0, 1, 4, 6])
 #: A length step costs as much as so many bucket steps, up to LENGTH_BOUND.
-LENGTH_COST, LENGTH_BOUND = 2, 64
+LENGTH_COST, LENGTH_BOUND = 12, 256
 BOUND = int(COST[3]) * BUCKETS
 
 
@@ -47,7 +48,7 @@ def bucket_counts(raw: bytes) -> np.ndarray:
     for k, (x, y, z) in enumerate(TRIPLETS):
         h = first[x : x + n] ^ second[y : y + n] ^ third[z : z + n]
         h = (h + np.uint32(k * 0x27D4EB2F & 0xFFFFFFFF)) * np.uint32(0x2C1B3C6D)
-        counts += np.bincount(h >> np.uint32(24), minlength=BUCKETS)
+        counts += np.bincount(h >> np.uint32(SHIFT), minlength=BUCKETS)
     return counts
 
 
