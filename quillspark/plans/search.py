@@ -6,8 +6,10 @@ frequencies are taken from each row's own token array, so a ranking needs one sc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -207,6 +209,107 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 5) AS simil
 """
 
 
+QUERY_EVERY = 50
+#: Rows in a block of vectors, as queries and as rows searched.
+BLOCK = 2048
+
+
+def _vector_blocks(vectors: DataFrame) -> DataFrame:
+    """ids and unit vectors (float64, row by row) of up to BLOCK rows of vec_id and embedding; ids ascend in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                part = whole.slice(at, BLOCK).sort_by("vec_id")
+                e = np.array(part.column("embedding").to_pylist(), np.float64)
+                u = e / np.maximum(np.sqrt((e * e).sum(axis=1, keepdims=True)), 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([u.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return vectors.mapInArrow(run, "ids array<long>, vectors binary")
+
+
+def _block_hits(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs: a block of queries (asked, q) beside a block of rows (ids, vectors). The k best rows of the block for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                asked, ids = np.array(r["asked"], np.int64), np.array(r["ids"], np.int64)
+                q, v = np.frombuffer(r["q"]).reshape(len(asked), -1), np.frombuffer(r["vectors"]).reshape(len(ids), -1)
+                s = np.round(q @ v.T, 5)
+                least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(asked), -2.0)
+                row, col = np.nonzero(s >= least[:, None])
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[best], col[best]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "similarity"])
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, similarity double")
+
+
+def first_of_each(hits: DataFrame, key: str, hit: str, k: int) -> DataFrame:
+    """The k most similar hits of each key, ties by hit; Spark limits each group before the shuffle too."""
+    best = Window.partitionBy(key).orderBy(F.desc("similarity"), hit)
+    return hits.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+
+
+def dense_cosine_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """For every vector whose number is divisible by 50 the vectors nearest to it, among all, ties by number."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").filter("vec_id is not null and embedding is not null")
+    queries = _vector_blocks(v.filter(F.col("vec_id") % QUERY_EVERY == 0)).select(F.col("ids").alias("asked"), F.col("vectors").alias("q"))
+    # Either side can be written to a shuffle, so neither is packed anew for each block of the other.
+    pairs = _vector_blocks(v).crossJoin(queries.repartition(F.xxhash64("asked")))
+    return first_of_each(_block_hits(pairs, k), "query_id", "vec_id", k)
+
+
+SQL_DENSE_SEARCH = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (
+  SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 5) AS similarity FROM embeddings, q WHERE embedding IS NOT NULL AND e IS NOT NULL
+)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10
+"""
+
+
+def sparse_cosine_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """For every benchmark item whose number is divisible by 50 the documents most like it by idf-weighted sparse vectors."""
+    # Dealt by doc_id once, so the features of a document are summed where its text is.
+    features = feature_table(documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id"))
+    n = documents(spark, sf_dir).count()
+    df = feature_frequencies(features).withColumn("idf", F.log(1 + (F.lit(float(n)) + 1) / (F.col("df") + 1))).select("feature", "idf")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.col("item_id") % QUERY_EVERY == 0).select("item_id", "text")
+    asked = feature_table(items, "item_id").withColumnRenamed("weight", "a")
+    # A row without an item for each feature of a document sums to its squared length; one pass makes lengths and products.
+    known = asked.groupBy("feature").agg(F.collect_list(F.struct("item_id", "a")).alias("asked"))
+    pairs = features.join(df, "feature").join(known, "feature", "left")
+    itself = F.array(F.struct(F.lit(None).cast("long").alias("item_id"), F.col("weight").alias("a")))
+    pairs = pairs.select("doc_id", (F.col("weight") * F.col("idf") * F.col("idf")).alias("w"), F.inline(F.concat(itself, F.coalesce("asked", F.array().cast("array<struct<item_id:bigint,a:double>>")))))
+    sums = pairs.groupBy("doc_id", "item_id").agg(F.sum(F.col("w") * F.col("a")).alias("dot"))
+    sums = sums.withColumn("ww", F.max(F.when(F.col("item_id").isNull(), F.col("dot"))).over(Window.partitionBy("doc_id"))).filter("item_id is not null and dot > 0")
+    norms = asked.join(df, "feature", "left").groupBy("item_id").agg(F.sum((F.col("a") * F.coalesce("idf", F.lit(1.0))) ** 2).alias("qq"))
+    similarity = F.round(F.col("dot") / (F.sqrt("ww") * F.sqrt("qq")), 6).alias("similarity")
+    return first_of_each(sums.join(norms, "item_id").select("item_id", "doc_id", similarity), "item_id", "doc_id", k)
+
+
+SQL_SPARSE_SEARCH = f"""
+WITH f AS ({_FEATURES.format(key="doc_id", tokens=SQL_TOKENS, table="documents")}
+), df AS (
+  SELECT feature, ln(1 + ((SELECT count(*) FROM documents)::DOUBLE + 1) / (count(*) + 1)) AS idf FROM f GROUP BY feature
+), b AS ({_FEATURES.format(key="item_id", tokens=SQL_TOKENS, table="(SELECT * FROM benchmark WHERE item_id % 50 = 0)")}
+), q AS (
+  SELECT item_id, feature, weight * coalesce(idf, 1) AS q FROM b LEFT JOIN df USING (feature)
+), w AS (
+  SELECT doc_id, feature, weight * idf AS w FROM f JOIN df USING (feature)
+), s AS (
+  SELECT item_id, doc_id, sum(w * q) AS dot FROM w JOIN q USING (feature) GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, doc_id, round(dot / (sqrt(ww) * sqrt(qq)), 6) AS similarity FROM s
+  JOIN (SELECT doc_id, sum(w * w) AS ww FROM w GROUP BY doc_id) USING (doc_id) JOIN (SELECT item_id, sum(q * q) AS qq FROM q GROUP BY item_id) USING (item_id) WHERE dot > 0
+)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 10
+"""
+
+
 def rank_bonus(hits: DataFrame, scale: float, weight: Column, extra: Column | None = None) -> DataFrame:
     """hits: variant, id, position (from 1). The largest bonus weight * scale / position**2 of each id over its variants."""
     bonus = weight * scale / (F.col("position") * F.col("position"))
@@ -290,6 +393,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "sparse_cosine_topk": (sparse_cosine_topk, SQL_SPARSE),
     "feature_document_frequency": (feature_document_frequency, SQL_FEATURE_DF),
     "dense_cosine_topk": (dense_cosine_topk, SQL_DENSE),
+    "dense_cosine_search": (dense_cosine_search, SQL_DENSE_SEARCH),
+    "sparse_cosine_search": (sparse_cosine_search, SQL_SPARSE_SEARCH),
     "hybrid_rank_fusion": (hybrid_rank_fusion, SQL_FUSION),
     "token_estimates": (token_estimates, SQL_ESTIMATES),
     "stable_ids": (stable_ids, SQL_IDS),
