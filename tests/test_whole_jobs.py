@@ -32,3 +32,11 @@ def test_searches_take_more_queries_and_ties(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "alpha"), (50, "gamma"), (51, "beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted((r.item_id, r.doc_id) for r in rows(spark, tmp_path, "sparse_cosine_search")) == [(0, 1), (50, 2)]
+
+
+def test_coverage_counts_terms_of_every_language(spark, tmp_path):
+    docs = [(1, "alpha", "fr"), (2, "beta", "en"), (3, "gamma", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    [r] = rows(spark, tmp_path, "corpus_term_coverage")
+    assert (r.n_terms, r.n_known, r.covered) == (4, 3, True)
