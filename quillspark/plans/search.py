@@ -385,6 +385,17 @@ SELECT doc_id, coalesce(plain, '') AS plain, CASE WHEN sl = '' THEN 'item' ELSE
 FROM s
 """
 
+
+def full_text_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slug of each whole text; normalized_text's is that of the first 60 characters."""
+    return documents(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+SQL_SLUGS = r"""
+WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[^0-9A-Za-z\x{4E00}-\x{9FFF}]+', '-', 'g'), '-') AS sl FROM documents)
+SELECT doc_id, CASE WHEN sl = '' THEN 'item' ELSE sl END AS slug FROM s
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bm25_topk": (bm25_topk, SQL_BM25),
     "term_document_frequency": (term_document_frequency, SQL_DF),
@@ -400,4 +411,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "stable_ids": (stable_ids, SQL_IDS),
     "identifier_extraction": (identifier_extraction, SQL_NAMES),
     "normalized_text": (normalized_text, SQL_NORMALIZED),
+    "full_text_slugs": (full_text_slugs, SQL_SLUGS),
 }

@@ -40,3 +40,11 @@ def test_coverage_counts_terms_of_every_language(spark, tmp_path):
     spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     [r] = rows(spark, tmp_path, "corpus_term_coverage")
     assert (r.n_terms, r.n_known, r.covered) == (4, 3, True)
+
+
+def test_slugs_are_of_whole_texts(spark, tmp_path):
+    same = "word " * 12
+    docs = [(1, same + "one"), (2, same + "two"), (3, "!!"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.slug for r in rows(spark, tmp_path, "full_text_slugs")}
+    assert got == {1: "word-" * 12 + "one", 2: "word-" * 12 + "two", 3: "item", 4: None}
