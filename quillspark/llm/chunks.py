@@ -1,11 +1,13 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A gear hash of the last 16 bytes rolls over the text; a chunk ends before a word where the hash says so, on
-average after mean_words words, so an insertion moves only the cuts beside it. Where no cut comes for
-MAX_BYTES, one is made at the next word. A chunk's digest is kept by the smallest doc_id that holds it, and
+average after mean_words words, so an insertion moves only the cuts beside it. In runs without blanks (Chinese,
+Japanese, Thai) chunks end before characters too: those beyond ASCII with no blank in the RUN bytes before
+them, of which PER_WORD count as a word. Where no cut comes for MAX_BYTES, one is made at the next word or such
+character; ASCII runs without blanks stay whole, however long. A chunk's digest is kept by the smallest doc_id that holds it, and
 there by its first place; elsewhere the chunk is a duplicate. Runs of at least two neighbouring duplicate
 chunks with min_words words or more are cut out of the text; shorter ones, such as common phrases, stay.
-Every distinct chunk thus survives at least once, and cuts fall between words.
+Every distinct chunk thus survives at least once, and cuts fall between words or code points.
 
 Digests are 64 bits wide. As a run needs two duplicate chunks in a row, a false cut takes two collisions in neighbours.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 GAP = b" " * 16
 MAX_BYTES = 256
+RUN = 48
+PER_WORD = 2
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -61,29 +65,38 @@ def chunked(texts: list[bytes], mean_words: int) -> Iterator[tuple[np.ndarray, n
     data = np.frombuffer(joined, np.uint8)
     blank = BLANK[data]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    mark = (rolled(data)[starts - 1] * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    leads = np.flatnonzero(data >= 0xC0)
+    # A word start closer than RUN bytes is a blank closer than that: whether a character is a place depends on these bytes alone.
+    chars = leads[leads - starts[np.searchsorted(starts, leads, "right") - 1] >= RUN] if len(leads) else leads
+    rolling = rolled(data)
+    mark = (rolling[starts - 1] * np.uint32(0x9E3779B1)) >> np.uint32(16)
     cuts = starts[mark % np.uint32(mean_words) == 0]
+    places = starts
+    if len(chars):
+        mark = (rolling[chars - 1] * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        cuts = np.union1d(cuts, chars[mark % np.uint32(mean_words * PER_WORD) == 0])
+        places = np.union1d(starts, chars)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + len(GAP)) - sizes
     for begin, size in zip(begins.tolist(), sizes.tolist(), strict=True):
         lo, hi = np.searchsorted(cuts, [begin, begin + size], "right")
         own = cuts[lo:hi]
         own = own[own < begin + size]
-        words = starts[slice(*np.searchsorted(starts, [begin, begin + size]))]
+        words, inner, at = (x[slice(*np.searchsorted(x, [begin, begin + size]))] for x in (starts, chars, places))
         ends = np.append(own, begin + size) if size else own
         edges = np.concatenate([[begin], ends])
         if len(ends) and np.diff(edges).max() > MAX_BYTES:
             extra = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 while b - a > MAX_BYTES:
-                    k = np.searchsorted(words, a + MAX_BYTES)
-                    if k >= len(words) or words[k] >= b:
+                    k = np.searchsorted(at, a + MAX_BYTES)
+                    if k >= len(at) or at[k] >= b:
                         break
-                    a = int(words[k])
+                    a = int(at[k])
                     extra.append(a)
             edges = np.unique(np.concatenate([edges, extra])).astype(np.int64)
             ends = edges[1:]
-        yield ends - begin, np.diff(np.searchsorted(words, edges))
+        yield ends - begin, np.diff(np.searchsorted(words, edges) + np.searchsorted(inner, edges) // PER_WORD)
 
 
 def digests(text: bytes, ends: np.ndarray) -> list[int]:

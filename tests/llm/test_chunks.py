@@ -102,3 +102,27 @@ def test_odd_rows(spark):
     check(spark, [])
 
 
+
+
+def glyphs(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+
+
+def test_passages_without_blanks_go_too(spark):
+    rng = random.Random(11)
+    p, thai = glyphs(rng, 400), "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(400))
+    rows = [(1, glyphs(rng, 90) + p + glyphs(rng, 60)), (2, glyphs(rng, 70) + p + glyphs(rng, 80)), (3, p), (4, thai), (5, thai), (6, thai[:200] + "x" + thai[201:])]
+    out = {r.doc_id: r for r in dedup_substrings(documents(spark, rows)).collect()}
+    assert out[1].text == rows[0][1] and out[4].text == thai
+    assert out[1].n_chunks > 20
+    for i, n in ((2, 300), (3, 300), (5, 300), (6, 250)):
+        assert out[i].removed_chars >= n and len(out[i].text) + out[i].removed_chars == len(rows[i - 1][1])
+    assert out[2].text.startswith(rows[1][1][:70]) and out[2].text.endswith(rows[1][1][-80:])
+
+
+def test_short_passages_without_blanks_stay(spark):
+    rng = random.Random(12)
+    p = glyphs(rng, 20)
+    rows = [(i, glyphs(rng, 60) + p + glyphs(rng, 60)) for i in range(20)] + [(99, "的" * 3000)]
+    out = {r.doc_id: r for r in dedup_substrings(documents(spark, rows)).collect()}
+    assert all(out[i].text == t for i, t in rows[:20]) and out[99].n_chunks > 10
