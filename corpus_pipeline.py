@@ -35,8 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words, copies and source's target."""
-    return mixture.mix(docs, passed=["source", "lang"]).filter("copies > 0")
+    """The documents that the mix takes, texts as the stages before left them, with their words, copies and source's target."""
+    return mixture.mix(docs, passed=["source", "lang", "text", "n_chars"]).filter("copies > 0")
 
 
 STAGES = [

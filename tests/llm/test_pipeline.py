@@ -56,3 +56,11 @@ def test_stages_take_odd_rows(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.filter("taken > 0").count() > 100 and out.filter("taken > 2 * size").count() == 0
+
+
+def test_mix_carries_texts(spark):
+    """Rows that repeat an id or have none keep texts of their own."""
+    rows = [(i, f"word {i} of many", "en", "s") for i in range(40)] + [(7, "another seven", "en", "s"), (None, "no id", "en", "s")]
+    out = P.mix_sources(spark, documents(spark, rows), "").collect()
+    have = {(r[0], r[1]) for r in rows}
+    assert len(out) == len(rows) and {(r.doc_id, r.text) for r in out} == have and all(r.n_chars == len(r.text) for r in out)
