@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -18,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of this machine is set only where the setting is missing, as in tests.
+    Where the setting is missing, a session of one process takes a folder of this machine; a cluster has none in common, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -60,7 +63,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
     """At most per_class labelled texts of each class, and each class's count of labelled rows.
 
     The sample is the rows with the smallest hashes of doc_id, so a rerun draws the same ones.
-    Ids are chosen first; texts of the chosen ones alone come to the driver.
+    Ids are chosen first; one text (the first in order) of each chosen one comes to the driver, however often its id repeats.
     Null ids, labels other than 0 and 1 and ids that aren't in documents don't count; of repeated labels the largest holds.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -70,10 +73,30 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
-    rows = [(r.doc_id, r.text or "", r.y) for r in picked.collect()]
+    rows = [(r.doc_id, r.text or "", r.y) for r in picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()]
     rows.sort(key=lambda r: (r[0], r[1]))
     return rows, totals
 
 
-def passed_through(documents: DataFrame, *names: str) -> list[str]:
-    return [c for c in names if c in documents.columns]
+def free_names(taken: Iterable[str], added: Iterable[str]) -> dict[str, str]:
+    """A name for each added column: its own, with underscores after it where a column has that name already, whatever its case."""
+    have, out = {c.lower() for c in taken}, {}
+    for name in added:
+        new = name
+        while new.lower() in have:
+            new += "_"
+        have.add(new.lower())
+        out[name] = new
+    return out
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """documents with columns c0, c1, ... in place of names that might clash."""
+    return documents.toDF(*(f"c{n}" for n in range(len(documents.columns))))
+
+
+def with_scores(documents: DataFrame, score: Column, threshold: float) -> DataFrame:
+    """documents' columns, then score and predicted (1 from threshold on); a name that documents have already gets an underscore."""
+    names = free_names(documents.columns, ("score", "predicted"))
+    out = documents.select("*", score.alias(names["score"]))
+    return out.select("*", (F.col(names["score"]) >= threshold).cast("int").alias(names["predicted"]))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, received, share
+from .common import labelled_sample, received, share, with_scores
 
 BLOCK = 4096
 
@@ -119,7 +119,7 @@ def learn_quality(documents: DataFrame, labels: DataFrame, learn: Column, *, per
 
 
 def score_quality(documents: DataFrame, model: QualityModel, *, threshold: float = 0.7) -> DataFrame:
-    """documents' columns with score and predicted (1 from threshold on) after them."""
+    """documents' columns with score and predicted (1 from threshold on) after them; a name that documents have gets an underscore."""
     shared = share(documents.sparkSession, model)  # two dictionaries of a fixed size
 
     @F.pandas_udf("double")
@@ -128,5 +128,4 @@ def score_quality(documents: DataFrame, model: QualityModel, *, threshold: float
         for texts in batches:
             yield pd.Series(scorer([t or "" for t in texts]))
 
-    out = documents.withColumn("score", score(F.col("text")))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return with_scores(documents, score(F.col("text")), threshold)

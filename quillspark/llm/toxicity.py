@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, received, share
+from .common import labelled_sample, received, share, with_scores
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -163,7 +163,7 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, pe
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: float = 0.5) -> DataFrame:
-    """documents' columns with score and predicted (1 from threshold on) after them."""
+    """documents' columns with score and predicted (1 from threshold on) after them; a name that documents have gets an underscore."""
     shared = share(documents.sparkSession, model)  # bounded by max_features
 
     @F.pandas_udf("double")
@@ -172,5 +172,4 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: flo
         for texts in batches:
             yield pd.Series(scorer([t or "" for t in texts]))
 
-    out = documents.withColumn("score", score(F.col("text")))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return with_scores(documents, score(F.col("text")), threshold)

@@ -1,6 +1,11 @@
+import gc
 import hashlib
+import random
 import re
+import sys
+import weakref
 
+from quillspark.llm import decontaminate
 from quillspark.llm.common import read_table
 from quillspark.llm.decontaminate import mark_contaminated
 
@@ -65,3 +70,45 @@ def test_on_the_tables(spark, sf_dir):
 def test_spans(spark):
     out = mark_contaminated(documents(spark, [(1, f"x {LONG} y only three words")]), spark.createDataFrame(ITEMS, "item_id long, text string"), spans=True).first()
     assert [tuple(s) for s in out.spans] == [(1, 41), (42, 45)] and out["items"] == ["1", "2", "5"]
+
+
+def test_one_index_is_alive_at_a_time(spark, monkeypatch):
+    alive, most = weakref.WeakValueDictionary(), []
+    made = decontaminate.index_windows
+
+    def counted(pieces, window):
+        gc.collect()
+        index = made(pieces, window)
+        alive[len(most)] = index
+        most.append(len(alive))
+        return index
+
+    monkeypatch.setattr(decontaminate, "index_windows", counted)
+    check(spark, DOCS, ITEMS, block_bytes=2000)
+    assert len(most) > 2 and max(most) == 1
+
+
+def test_an_index_keeps_within_its_rate():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30_000))) for _ in range(12)]
+    pieces = [(str(n), p) for n, t in enumerate(texts) for p in decontaminate.pieces_of(t.encode().split(), 10)]
+    index = decontaminate.index_windows(pieces, 10)
+    index.order({k: (v, v * 0) for k, v in index.shingle_keys().items()})
+    held = [index.ids, *(getattr(w, f) for w in index.by_length.values() for f in ("starts", "bounds", "items", "keys", "which", "offsets"))]
+    size = sum(a.nbytes for a in held) + sys.getsizeof(index.vocabulary) + sum(map(sys.getsizeof, index.vocabulary)) + 32 * len(index.vocabulary)
+    assert size < decontaminate.INDEX_RATE * sum(map(len, texts))
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    check(spark, DOCS, ITEMS)
+    check(spark, DOCS, ITEMS, block_bytes=3000)
+
+
+def test_kept_columns_with_names_of_added_ones(spark):
+    docs = documents(spark, [(1, f"x {LONG}"), (2, "y")], ["n_hit", "items", "Contaminated", "a.b"])
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for size in (64 << 20, 60):
+        out = mark_contaminated(docs, bench, keep=["doc_id", "n_hit", "items", "Contaminated"], block_bytes=size)
+        assert out.columns == ["doc_id", "n_hit", "items", "Contaminated", "n_words", "n_hit_", "n_items", "items_sha256", "contaminated_"]
+        assert {(r.doc_id, r.n_hit, r.n_hit_, r.contaminated_) for r in out.collect()} == {(1, "x", 40, True), (2, "x", 0, False)}
