@@ -95,8 +95,12 @@ def numbered(documents: DataFrame) -> DataFrame:
     return documents.toDF(*(f"c{n}" for n in range(len(documents.columns))))
 
 
+#: Columns that a classifier adds.
+SCORES = ("score", "predicted")
+
+
 def with_scores(documents: DataFrame, score: Column, threshold: float) -> DataFrame:
     """documents' columns, then score and predicted (1 from threshold on); a name that documents have already gets an underscore."""
-    names = free_names(documents.columns, ("score", "predicted"))
+    names = free_names(documents.columns, SCORES)
     out = documents.select("*", score.alias(names["score"]))
     return out.select("*", (F.col(names["score"]) >= threshold).cast("int").alias(names["predicted"]))

@@ -55,3 +55,11 @@ def test_quality_takes_odd_rows(spark, small):
     model = quality.learn_quality(*small, F.lit(True))
     out = quality.score_quality(documents(spark, ODD, ["quality"]), model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+
+
+@pytest.mark.parametrize("learn,score", [(toxicity.learn_toxicity, toxicity.score_toxicity), (quality.learn_quality, quality.score_quality)])
+def test_documents_with_names_of_added_columns(spark, small, learn, score):
+    model = learn(*small, F.lit(True))
+    docs = documents(spark, [(1, "you idiot number")], ["score", "Predicted", "predicted_"])
+    out = score(docs, model)
+    assert out.columns == [*docs.columns, "score_", "predicted__"] and out.first().score == "x"

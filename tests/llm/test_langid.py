@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -79,3 +80,54 @@ def test_odd_rows(spark):
     none = langid.learn_languages(docs.limit(0), F.lit(True), VOCABULARY)
     assert {r.lang_pred for r in langid.predict_languages(odd, none).collect()} == {"und"}
     assert langid.predict_languages(odd.limit(0), model).count() == 0
+
+
+def test_expected_counts_of_long_words():
+    """Characters of all pieces add up to the word's, however small its probability is."""
+    pieces = ["a", "aa", langid.MARK + "a"]
+    table, expected = langid.PieceTable(pieces), np.zeros(4)
+    langid.expect(table, np.array([1e-5, 1e-9, 1e-7, 1e-12]), ["a" * 700, "a" * 700], np.array([2.0, 1.0]), expected)
+    by = dict(zip(pieces, expected, strict=False))
+    assert by["a"] + 2 * by["aa"] + by[langid.MARK + "a"] == pytest.approx(2100) and by[langid.MARK + "a"] + expected[3] == pytest.approx(3)
+
+
+def test_slabs_give_the_same(monkeypatch):
+    pieces = sorted({"a", "b", "ab", "bab", "abba", langid.MARK + "ab"})
+    model = langid.LanguageModel(["x"], pieces, np.random.default_rng(4).random((len(pieces) + 1, 1)))
+    words = ["abbababbab" * 9, "babbabbabb" * 9]
+    whole = model.word_scorer()(words)
+    monkeypatch.setattr(langid, "SLAB", 10)
+    assert np.allclose(model.word_scorer()(words), whole, rtol=1e-12)
+
+
+def test_a_very_long_word_takes_linear_memory():
+    """200,000 letters in a row, as in text without blanks."""
+    pieces = langid.read_pieces(VOCABULARY)
+    model = langid.LanguageModel(["x", "y"], pieces, np.full((len(pieces) + 1, 2), [[1e-5, 2e-5]], np.float32))
+    score = model.scorer()
+    tracemalloc.start()
+    names, shares = score(["qxz" * 66_667, "字" * 200_000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["y", "y"] and most < 150e6
+
+
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark, [(1, "the cat", "en"), (2, "der hund", "de")])
+    model = langid.learn_languages(docs, F.lit(True), VOCABULARY)
+    odd = documents(spark, [(1, "½ ² ① Ⅷ 12 ٣"), (2, "the²cat"), (3, "der ½")])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_languages(odd, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en" and got[3][0] == "de"
+    assert langid.words_of("The²Cat Ⅷ é1ß") == ["the", "cat", "é", "ß"]
+
+
+def test_every_language_is_learned_and_an_id_counts_once(spark):
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * 3, f"l{k:03}") for k in range(60)] + [(5, "other text", "l005")] * 5 + [(5, None, "l005")]
+    model = langid.learn_languages(documents(spark, rows), F.lit(True), VOCABULARY, per_language=1)
+    assert model.languages == [f"l{k:03}" for k in range(60)]
+
+
+def test_documents_with_names_of_added_columns(spark):
+    docs = documents(spark, [(1, "the cat", "en")], ["score", "Lang_Pred"])
+    out = langid.predict_languages(docs, langid.learn_languages(docs, F.lit(True), VOCABULARY))
+    assert out.columns == [*docs.columns, "lang_pred_", "score_"] and out.first().lang_pred_ == "en"
