@@ -3,6 +3,7 @@
 Learning. Every labelled text becomes the set of its word features (words and word beginnings of 4 to 6
 letters). A logistic loss over the labels is joined by a penalty on (score(x) - score(x'))**2, where x' is x
 with each identity term replaced by the next of its list, so weight can't settle on the mention of a group.
+The weights' sum becomes a probability by a logistic curve of labelled rows that the weights haven't seen.
 
 Scoring is a map over whole texts with a weight table whose size is bounded by max_features; nothing is shuffled.
 
@@ -14,8 +15,6 @@ share of label 1 (0 without any label).
 from __future__ import annotations
 
 import re
-import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,8 +71,16 @@ class ToxicityModel:
         z = self.intercept + sum(sorted(self.weights.get(f, 0.0) for f in features(words)))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
+    def sums(self, texts: list[str]) -> np.ndarray:
+        return self._summed()(texts)
+
     def scorer(self):
-        """A function from texts to scores that remembers which features a word has."""
+        """A function from texts to scores."""
+        summed = self._summed()
+        return lambda texts: 1 / (1 + np.exp(-np.clip(summed(texts), -40, 40)))
+
+    def _summed(self):
+        """A function from texts to sums of weights that remembers which features a word has."""
         index = {f: i for i, f in enumerate(sorted(self.weights))}
         weights = np.array([self.weights[f] for f in sorted(self.weights)])
         of_word: dict[str, tuple[int, ...]] = {}
@@ -85,7 +92,7 @@ class ToxicityModel:
             of_word[word] = hit
             return hit
 
-        def score(texts: list[str]) -> np.ndarray:
+        def summed(texts: list[str]) -> np.ndarray:
             out = np.empty(len(texts))
             for n, text in enumerate(texts):
                 hits: set[int] = set()
@@ -96,51 +103,96 @@ class ToxicityModel:
                     if got:
                         hits.update(got)
                 out[n] = self.intercept + weights[sorted(hits)].sum() if hits else self.intercept
-            return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+            return out
+
+        return summed
+
+
+class FeatureIds:
+    """Numbers of features in order of their first use."""
 
-        return score
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.of_word: dict[str, tuple[int, ...]] = {}
 
+    def encoded(self, words: set[str]) -> np.ndarray:
+        for w in words:
+            if w not in self.of_word:
+                self.of_word[w] = tuple(self.names.setdefault(f, len(self.names)) for f in word_features(w))
+        return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
 
-def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, max_features: int = 6000, min_count: int = 3, swap_penalty: float = 4.0, l2: float = 1e-3, steps: int = 300) -> ToxicityModel:
-    """Fit on (id, text, label) rows that stand for totals[label] labelled rows of each class."""
+
+def calibration(z: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Offset and slope of the logistic curve that fits labels of rows not learned from, by Newton's method."""
+    x, beta = np.column_stack([np.ones(len(z)), z]), np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        gradient = x.T @ (importance * (y - p)) - ridge * (beta - [0, 1])
+        step = np.linalg.solve((x * (importance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), gradient)
+        beta = beta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+    return beta if beta[1] > 0 else np.array([0.0, 1.0])
+
+
+def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, max_features: int = 6000, min_count: int = 3, swap_penalty: float = 4.0, l2: float = 0.03, steps: int = 300, held: int = 5) -> ToxicityModel:
+    """Fit on (id, text, label) rows that stand for totals[label] labelled rows of each class.
+
+    The max_features features that tell the classes apart best, of those in min_count rows or more, get weights. Every
+    held-th row of each class is kept from that and then fits a curve from the weights' sum to a probability.
+    """
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0 or {r[2] for r in rows} != {0, 1}:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
         return ToxicityModel(float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    words = [{sys.intern(w) for w in LETTERS.findall(text.lower())} for _, text, _ in rows]
+    kept, apart = [], []
+    for label in (0, 1):
+        own = [r for r in rows if r[2] == label]
+        apart += own[held - 1 :: held]
+        kept += [r for n, r in enumerate(own) if n % held != held - 1]
+    if min(sum(r[2] == k for r in apart) for k in (0, 1)) < 10:
+        kept, apart = rows, []
+    model = _weighted(kept, n0, n1, max_features, min_count, swap_penalty, l2, steps)
+    if apart:
+        y = np.array([r[2] for r in apart], float)
+        importance = np.where(y == 1, n1 / (y == 1).sum(), n0 / (y == 0).sum())
+        offset, slope = calibration(model.sums([r[1] for r in apart]), y, importance / importance.mean())
+        model = ToxicityModel(float(offset + slope * model.intercept), {f: float(slope * x) for f, x in model.weights.items()})
+    return model
+
+
+def _weighted(rows: list[tuple[int, str, int]], n0: int, n1: int, max_features: int, min_count: int, swap_penalty: float, l2: float, steps: int) -> ToxicityModel:
+    known, sets, pairs = FeatureIds(), [], []
+    for _, text, _ in rows:
+        words = set(LETTERS.findall(text.lower()))
+        sets.append(known.encoded(words))
+        if not words.isdisjoint(SWAP):
+            pairs.append((sets[-1], known.encoded(swapped(words))))
     y = np.array([r[2] for r in rows], float)
-    counts = {0: Counter(), 1: Counter()}
-    for ws, (_, _, label) in zip(words, rows, strict=True):
-        counts[label].update(features(ws))
     size = {k: float((y == k).sum()) for k in (0, 1)}
-
-    def gain(f: str) -> float:
-        p1, p0 = counts[1][f] / size[1], counts[0][f] / size[0]
-        return abs(p1 - p0) * abs(np.log((counts[1][f] + 0.5) / (size[1] + 1)) - np.log((counts[0][f] + 0.5) / (size[0] + 1)))
-
-    frequent = [f for f, n in counts[1].items() if n + counts[0][f] >= min_count] + [f for f, n in counts[0].items() if n >= min_count and f not in counts[1]]
-    chosen = sorted(frequent, key=lambda f: (-gain(f), f))[:max_features]
-    chosen = sorted(set(chosen) | {t for t in SWAP if counts[0][t] + counts[1][t]})
-    index = {f: i for i, f in enumerate(chosen)}
-
-    def sparse(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        doc, col = [], []
-        for n, ws in enumerate(sets):
-            ids = [index[f] for f in features(ws) if f in index]
-            doc += [n] * len(ids)
-            col += ids
-        return np.array(doc, np.int64), np.array(col, np.int64)
-
-    pairs = [ws for ws in words if not ws.isdisjoint(SWAP)]
-    d, c = sparse(words)
-    da, ca = sparse(pairs)
-    db, cb = sparse([swapped(ws) for ws in pairs])
+    counts = {k: np.bincount(np.concatenate([s for s, label in zip(sets, y, strict=True) if label == k]), minlength=len(known.names)) for k in (0, 1)}
+    gain = np.abs(counts[1] / size[1] - counts[0] / size[0]) * np.abs(np.log((counts[1] + 0.5) / (size[1] + 1)) - np.log((counts[0] + 0.5) / (size[0] + 1)))
+    names = sorted(known.names)
+    by_name = np.array([known.names[f] for f in names])
+    order = by_name[np.argsort(-gain[by_name], kind="stable")]
+    chosen = set(order[(counts[0] + counts[1])[order] >= min_count][:max_features].tolist())
+    chosen |= {known.names[t] for t in SWAP if t in known.names}
+    place = np.full(len(known.names), -1)
+    picked = np.array([i for i in by_name if i in chosen])
+    place[picked] = np.arange(len(picked))
+
+    def sparse(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = place[np.concatenate(sets)] if sets else np.zeros(0, np.int64)
+        return doc[col >= 0], col[col >= 0]
+
+    d, c = sparse(sets)
+    da, ca = sparse([a for a, _ in pairs])
+    db, cb = sparse([b for _, b in pairs])
     importance = np.where(y == 1, n1 / size[1], n0 / size[0])
     importance /= importance.sum()
-    w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
+    w, b = np.zeros(len(picked)), float(np.log(n1 / n0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = b + np.bincount(d, w[c], len(words))
+        z = b + np.bincount(d, w[c], len(sets))
         g = importance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         gw = np.bincount(c, g[d], len(w)) + l2 * w / len(w) ** 0.5
         gb = g.sum()
@@ -153,10 +205,11 @@ def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, ma
         rate = 0.1 * (1 - t / (steps + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return ToxicityModel(float(b), {f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6})
+    named = {i: f for f, i in known.names.items()}
+    return ToxicityModel(float(b), {named[int(i)]: float(x) for i, x in zip(picked, w, strict=True) if abs(x) > 1e-6})
 
 
-def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 3000, **options) -> ToxicityModel:
+def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 4000, **options) -> ToxicityModel:
     """Fit on at most per_class labelled rows of each class, among those where learn holds."""
     rows, totals = labelled_sample(documents, labels, "toxic", learn, per_class)
     return fit_toxicity(rows, totals, **options)

@@ -1,8 +1,12 @@
+import math
+import random
+
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillspark.llm import quality, toxicity
-from quillspark.llm.common import read_table
+from quillspark.llm.common import labelled_sample, read_table, remainder
 
 from .cases import documents
 
@@ -63,3 +67,50 @@ def test_documents_with_names_of_added_columns(spark, small, learn, score):
     docs = documents(spark, [(1, "you idiot number")], ["score", "Predicted", "predicted_"])
     out = score(docs, model)
     assert out.columns == [*docs.columns, "score_", "predicted__"] and out.first().score == "x"
+
+
+def test_toxicity_held_out_accuracy_and_brute_force(spark, sf_dir):
+    """Accuracy on rows not learned from; every score is the sum of the weights of a text's word features."""
+    folder = sf_dir.replace("0.001", "0.1")
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    model = toxicity.learn_toxicity(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    out = toxicity.score_toxicity(docs.filter(remainder(F.col("doc_id"), 5) == 0), model).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in out) > 0.96 * len(out) and sum(r.predicted for r in out) > 30
+    for r in out[:200]:
+        assert r.score == pytest.approx(model.score_words(set(toxicity.LETTERS.findall((r.text or "").lower()))), rel=1e-9)
+
+
+def test_neutral_mentions_are_not_toxic():
+    """A model that sees groups mentioned mostly in abuse: without the penalty it flags neutral mentions, with it hardly any."""
+    rng, terms = random.Random(3), [t for group in toxicity.IDENTITY_TERMS[:5] for t in group]
+    abuse, calm = ("scum", "trash", "idiot", "moron"), ("choir", "bakers", "garden", "letters", "river", "school")
+    rows = [(i, f"{rng.choice(terms[:6])} {rng.choice(abuse)} {rng.choice(calm)} x{rng.randrange(99)}", 1) for i in range(300)]
+    rows += [(i, f"{rng.choice(calm)} {rng.choice(calm)} {rng.choice(terms[6:]) if i % 9 == 0 else ''} x{rng.randrange(99)}", 0) for i in range(300, 600)]
+    neutral = [f"the {t} {c} sang" for t in terms for c in calm]
+    flagged = []
+    for penalty in (0.0, 8.0):
+        score = toxicity.fit_toxicity(rows, {0: 300, 1: 300}, swap_penalty=penalty).scorer()
+        flagged.append(int((score(neutral) >= 0.5).sum()))
+        assert (score([f"{t} scum" for t in terms]) >= 0.5).mean() > 0.95
+    assert flagged[1] <= 0.01 * len(neutral) < flagged[0]
+
+
+def test_quality_against_brute_force(spark, small):
+    """The score rises with the difference of the compressed sizes for a byte, and with nothing else."""
+    model = quality.learn_quality(*small, F.lit(True))
+    texts = ["a calm day number", "you idiot " * 300, "é" * 700, "x"]
+    out = {r.doc_id: r.score for r in quality.score_quality(documents(spark, list(enumerate(texts))), model).collect()}
+    for n, text in enumerate(texts):
+        raw, sizes = text.encode(), []
+        for content in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), level=model.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[a : a + quality.BLOCK])) for a in range(0, len(raw), quality.BLOCK)))
+        z = model.curve[0] + model.curve[1] * (sizes[1] - sizes[0]) / len(raw)
+        assert out[n] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_an_id_that_repeats_is_learned_from_once(spark):
+    docs = documents(spark, [(1, f"text {n}") for n in range(50)] + [(2, "good"), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1)], "doc_id long, toxic int, quality int")
+    rows, totals = labelled_sample(docs, labels, "toxic", F.lit(True), 10)
+    assert rows == [(1, "text 0", 1), (2, "good", 0), (3, "", 0)] and totals == {0: 2, 1: 1}
