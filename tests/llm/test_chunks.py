@@ -126,3 +126,23 @@ def test_short_passages_without_blanks_stay(spark):
     rows = [(i, glyphs(rng, 60) + p + glyphs(rng, 60)) for i in range(20)] + [(99, "的" * 3000)]
     out = {r.doc_id: r for r in dedup_substrings(documents(spark, rows)).collect()}
     assert all(out[i].text == t for i, t in rows[:20]) and out[99].n_chunks > 10
+
+
+def test_encoded_data_without_blanks_goes_too(spark):
+    rng = random.Random(13)
+    code = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    p = code(3000)
+    rows = [(1, f"head {code(400)}{p}{code(100)} tail"), (2, f"other words {code(333)}{p}{code(200)}"), (3, code(2000))]
+    out = {r.doc_id: r for r in dedup_substrings(documents(spark, rows)).collect()}
+    assert out[1].text == rows[0][1] and out[3].text == rows[2][1] and out[1].n_chunks > 30
+    assert out[2].removed_chars >= 2700 and out[2].text.startswith(rows[1][1][:345]) and out[2].text.endswith(rows[1][1][-200:])
+
+
+def test_documents_with_names_of_added_columns(spark):
+    rng = random.Random(14)
+    p = prose(rng, 80)
+    names = ["_copies", "copies", "n_chunks", "n_duplicate", "Removed", "removed_chars", "sources", "digest", "owner", "a.b", "c0"]
+    out = dedup_substrings(documents(spark, [(1, p), (2, p)], names))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *names, "n_chunks_", "n_duplicate_", "removed_chars_", "removed_", "sources_"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[2].text == "" and got[2].sources_ == [1] and got[2].sources == "x" and got[1].text == p
