@@ -8,12 +8,17 @@ concentration as of independent draws. A document stops once all its bins are fu
 Candidates. Documents of equal shingle sets form a class, of which the smallest doc_id goes on. Bands of the
 sketch make buckets. In each bucket all members are compared with the smallest id (the hub); links found
 there join members into components. Then, in buckets that still hold several components, the members outside
-the hub's component are compared with all others, block against block of a bounded number of texts, inside
-a task: the pairs are never rows, and a task returns at most one link for each component that it sees.
-Every pair that shares a bucket is thus either known to be connected or compared on its full sets. The work
-of that last step is the number of members outside the hub's component times the bucket's size.
+the hub's component are compared with all others, block against block, inside a task: the pairs are never rows, and
+a task returns at most one link for each component that it sees. Every pair that shares a bucket is thus either
+known to be connected or compared on its full sets.
+
+Blocks have up to about block texts and SHINGLES shingles; a task holds one block and streams the other. With n members of
+which m are outside the hub's component, a bucket ships n * ceil(m / block) + m * ceil(n / block) texts: n + m up to
+block members, beyond that a text for every block it meets. Comparisons are n * m. Blocks are dealt to tasks by ranges, which
+Spark draws so that tasks have like numbers of rows, whatever the sizes of buckets.
 
 A pair at the threshold shares no bucket with probability (1 - s**rows)**bands: 2.8e-7 for 0.85, 6 and 32.
+Links are confirmed on the full sets of 64-bit hashes of shingles, not on their words.
 
 Defined results: texts without words, and nulls, have empty sets and link with nothing; rows without doc_id
 are never linked, have a null component and are kept; repeated rows are one class; rows that repeat a doc_id with
@@ -31,10 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import connected_components
 
 U = np.uint64
+#: Shingles in a block, and texts of the other block that are compared with it at once.
+SHINGLES, STREAMED = 1 << 20, 256
 
 
 class WordHashes(dict):
@@ -168,38 +175,44 @@ def links_between(left: list[tuple], right: list[tuple], percent: int) -> list[t
 
 def compared(tests: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
     """tests: k1, k2, left, id, component. Links (a, b) of components between the left and the other members of each (k1, k2)."""
-    rows = tests.join(texts, "id").select("k1", "k2", "left", "id", "component", "text")
+    rows = tests.join(texts, "id").select("k1", "k2", (~F.col("left")).alias("right"), "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        sides: tuple[list, list] = ([], [])
-        held = None
-        found: list[tuple[int, int]] = []
+        held, left, right, found, size = None, [], [], [], 0
 
-        def batch_of(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def compare() -> None:
+            nonlocal size
+            if left and right:
+                found.extend(links_between(left, right, percent))
+            right.clear()
+            size = 0
 
         for batch in batches:
-            for k1, k2, left, i, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k1, k2, of_right, i, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (k1, k2) != held:
-                    if sides[0] and sides[1]:
-                        found += links_between(*sides, percent)
-                    held, sides = (k1, k2), ([], [])
-                sides[0 if left else 1].append((i, component, shingle_sets([text], shingle, hashes)[0]))
-            yield batch_of(found)
-            found = []
-        if sides[0] and sides[1]:
-            yield batch_of(links_between(*sides, percent))
+                    compare()
+                    held, left = (k1, k2), []
+                own = shingle_sets([text], shingle, hashes)[0]
+                (right if of_right else left).append((i, component, own))
+                size += len(own) if of_right else 0
+                if len(right) >= STREAMED or size >= SHINGLES:
+                    compare()
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found.clear()
+        compare()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, "a long, b long")
+    return rows.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2", "right").mapInArrow(run, "a long, b long")
 
 
 def in_block(column: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(column), blocks)
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85, bands: int = 32, rows: int = 6, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links have 100 * |both| >= percent * |either|."""
+    spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
     sketches = written(sketch_documents(documents, shingle=shingle, bands=bands, rows=rows), "sketches")
     named = sketches.filter("n_shingles > 0 and doc_id is not null")
@@ -211,11 +224,13 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85
     buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = buckets.select("key", F.col("hub.id").alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
     members = written(banded.join(buckets, "key"), "members")
+    # Blocks that so many texts of so many shingles take.
+    blocks_of = lambda n, size: F.ceil(F.greatest(n / block, size / SHINGLES))
 
     # The hub of a bucket with every other member; sizes too far apart can't reach the threshold.
     near_size = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent
-    pairs = members.filter(near_size & (F.col("id") != F.col("hub"))).select("hub", "id").distinct()
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    pairs = members.filter(near_size & (F.col("id") != F.col("hub"))).select("hub", "id", "n_shingles").distinct()
+    hubs = pairs.groupBy("hub").agg(blocks_of(F.count("*"), F.sum("n_shingles")).alias("blocks"))
     others = pairs.join(hubs, "hub").select(F.col("hub").alias("k1"), in_block(F.col("id"), F.col("blocks")).alias("k2"), F.lit(False).alias("left"), "id")
     hub_rows = hubs.select(F.col("hub").alias("k1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k2"), F.lit(True).alias("left"), F.col("hub").alias("id"))
     tests = others.unionByName(hub_rows).withColumn("component", F.col("id"))
@@ -225,17 +240,20 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 3, percent: int = 85
     # Buckets that still hold several components.
     of = lambda df, column, name: df.join(first.select(F.col("id").alias(column), F.col("component").alias("_c")), column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
     rest = of(of(members, "id", "component"), "hub", "hub_component").withColumn("outside", F.col("component") != F.col("hub_component"))
-    rest = written(rest.select("key", "id", "component", "outside", "hub"), "rest")
-    open_ = rest.groupBy("key").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_out"), F.min("hub").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
-    open_ = open_.filter("n > 2 and n_out > 0").groupBy("hub", "n", "n_out", "ids").agg(F.min("key").alias("key"))
-    open_ = open_.select("key", F.ceil(F.col("n_out") / block).alias("left_blocks"), F.ceil(F.col("n") / block).alias("right_blocks"))
-    rest = rest.drop("hub").join(open_, "key")
+    rest = written(rest.select("key", "id", "n_shingles", "component", "outside", "hub"), "rest")
+    outside = F.when(F.col("outside"), F.col("n_shingles"))
+    open_ = rest.groupBy("key").agg(F.count("*").alias("n"), F.count(outside).alias("n_out"), F.sum("n_shingles").alias("size"), F.sum(outside).alias("size_out"), F.min("hub").alias("hub"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+    open_ = open_.filter("n > 2 and n_out > 0").groupBy("hub", "n", "n_out", "size", "size_out", "ids").agg(F.min("key").alias("key"))
+    open_ = open_.select("key", blocks_of(F.col("n_out"), F.col("size_out")).alias("left_blocks"), blocks_of(F.col("n"), F.col("size")).alias("right_blocks"))
+    many = rest.drop("hub").join(open_, "key")
     spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    lefts = rest.filter("outside").withColumn("i", in_block(F.col("id"), F.col("left_blocks"))).withColumn("j", F.explode(spread("right_blocks"))).withColumn("left", F.lit(True))
-    rights = rest.withColumn("j", in_block(F.col("id"), F.col("right_blocks"))).withColumn("i", F.explode(spread("left_blocks"))).withColumn("left", F.lit(False))
+    lefts = many.filter("outside").withColumn("i", in_block(F.col("id"), F.col("left_blocks"))).withColumn("j", F.explode(spread("right_blocks"))).withColumn("left", F.lit(True))
+    rights = many.withColumn("j", in_block(F.col("id"), F.col("right_blocks"))).withColumn("i", F.explode(spread("left_blocks"))).withColumn("left", F.lit(False))
     tests = lefts.unionByName(rights).select(F.col("key").alias("k1"), (F.col("i") * F.col("right_blocks") + F.col("j")).alias("k2"), "left", "id", "component")
     more = compared(tests, texts, shingle=shingle, percent=percent)
     final = connected_components(first_links.unionByName(more))
+    for done in (firsts, members, first_links, first, rest):
+        discard(spark, done)
 
     joined = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     joined = joined.join(final.withColumnRenamed("id", "first"), "first", "left")
