@@ -6,8 +6,11 @@ mean, its strength comes from all groups of the level by the method of moments.
 lower posterior bound (mean less z standard deviations) of its share of bad pages exceeds the threshold; a
 host without labelled pages is judged by its domain's posterior, and thin evidence is drawn towards it.
 
-All of it is DataFrame operations: counts are combined before their shuffle, and pages meet their host's
-verdict in a join that the engine can split where a host is hot.
+Registered domains come from a table of public suffixes where one is given (rules as such lists have them, with
+*. for any label and ! for exceptions), else from a short list of second-level labels under country codes.
+
+All of it is DataFrame operations: counts are combined before their shuffle, each level is written once and read
+by the next, and pages meet their host's verdict in a join that the engine can split where a host is hot.
 
 Defined results: a null url, or one without ://, has an empty host and path and is judged by the outcomes of
 such urls together; rows without page_id are judged but have no outcome; of several labels the worst holds.
@@ -20,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Second-level labels below which names are registered under a country's two letters.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 LEAST_RHO, MOST_RHO = 1e-4, 0.5
@@ -36,9 +41,33 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def plain_name(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+
+
+def listed_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts with domain and suffix by the rules of a table of public suffixes (column suffix); a host that no rule fits has its last label.
+
+    Each host meets the rules by the few names that its labels make, so the table may be of any size.
+    """
+    rows = hosts.withColumn("_labels", F.split(plain_name(F.col("host")), r"\."))
+    n = F.size("_labels")
+    tail = lambda k: F.array_join(F.slice("_labels", n - k + 1, k), ".")
+    tried = lambda rule, size, exact: F.struct(rule.alias("suffix"), size.alias("size"), F.lit(exact).alias("exact"))
+    names = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.array(tried(tail(k), k, False), tried(F.concat(F.lit("*."), tail(k - 1)), k, False), tried(F.concat(F.lit("!"), tail(k)), k - 1, True))))
+    met = rows.select("host", F.inline(names)).join(suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).distinct(), "suffix")
+    best = met.groupBy("host").agg(F.max(F.struct("exact", "size")).alias("_best"))
+    rows = rows.join(best, "host", "left").withColumn("_size", F.least(n, F.coalesce("_best.size", F.lit(1))))
+    numeric = F.col("host").rlike(r"^(.*@)?\d+(\.\d+){3}(:\d*)?$")
+    whole = tail(n)
+    rows = rows.withColumn("suffix", F.when(numeric, whole).otherwise(tail(F.col("_size")))).withColumn("domain", F.when(numeric, whole).otherwise(tail(F.least(n, F.col("_size") + 1))))
+    return rows.drop("_labels", "_best", "_size")
+
+
 def name_levels(host: Column) -> tuple[Column, Column]:
     """Registered domain and suffix of a host, without user and port."""
-    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    name = plain_name(host)
     labels = F.split(name, r"\.")
     n = F.size(labels)
     last, second = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
@@ -62,25 +91,29 @@ def posterior(groups: DataFrame, parents: DataFrame, key: str, parent: str) -> D
     return rows.select(key, parent, (F.col("strength") * m + x).alias("a"), (F.col("strength") * (1 - m) + n - x).alias("b"))
 
 
-def host_reputations(outcomes: DataFrame) -> DataFrame:
-    """outcomes: host, bad (0, 1 or null where unlabelled). host, domain, suffix, a and b for every host."""
-    domain, suffix = name_levels(F.col("host"))
+def host_reputations(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """outcomes: host, bad (0, 1 or null where unlabelled). host, domain, a and b for every host."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(0))
+    if suffixes is None:
+        domain, suffix = name_levels(F.col("host"))
+        hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    else:
+        hosts = listed_levels(hosts, suffixes)
+    hosts = written(hosts, "hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    names = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(0)), "suffixes")
     # One bad and one good page stand for what is known before any label.
-    root = suffixes.groupBy("root").agg((F.sum("bad") + 1).alias("a"), (F.sum("n") - F.sum("bad") + 1).alias("b"))
-    by_suffix = posterior(suffixes, root, "suffix", "root")
-    by_domain = posterior(domains, by_suffix, "domain", "suffix")
+    root = names.groupBy("root").agg((F.sum("bad") + 1).alias("a"), (F.sum("n") - F.sum("bad") + 1).alias("b"))
+    by_suffix = written(posterior(names, root, "suffix", "root"), "suffix-posteriors")
+    by_domain = written(posterior(domains, by_suffix, "domain", "suffix"), "domain-posteriors")
     return posterior(hosts, by_domain, "host", "domain")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], *, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]], *, threshold: float = 0.5, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     outcomes: page_id, bad. rules: (allow or block, host, path); a rule fits its host and all below it where the
-    url's path begins with its own, and the longest fitting one wins (the first of equals).
+    url's path begins with its own, and the longest fitting one wins (the first of equals). suffixes: public suffixes, if any.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -88,7 +121,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     known = urls.select("page_id", "host").join(labelled, "page_id", "left")
     a, b = F.col("a"), F.col("b")
     mean, spread = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    verdicts = host_reputations(known).select("host", (mean - z * spread > threshold).alias("bad_host"))
+    verdicts = host_reputations(known, suffixes).select("host", (mean - z * spread > threshold).alias("bad_host"))
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, rule_host, rule_path in reversed(ordered):

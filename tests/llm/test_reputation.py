@@ -45,3 +45,13 @@ def test_odd_rows(spark):
     both(spark, [(None, "http://x.com/a"), (1, "http://x.com/a"), (1, "http://x.com/a"), (2, None)], [(1, 0, None), (1, 1, 0), (None, 0, 1), (99, 0, 0), (2, None, None)])
     both(spark, [], [(1, 0, 0)])
     both(spark, [(1, "http://x.com/" + "a" * 100_000)], [])
+
+
+def test_a_table_of_public_suffixes(spark):
+    suffixes = spark.createDataFrame([(s,) for s in ("com", "co.uk", "uk", "*.ck", "!www.ck", "github.io", " IO ", "com")], "suffix string")
+    want = {"a.b.example.com": ("example.com", "com"), "example.co.uk": ("example.co.uk", "co.uk"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.c.ck": ("b.c.ck", "c.ck"), "www.ck": ("www.ck", "ck"), "m.www.ck": ("www.ck", "ck"), "me.github.io:80": ("me.github.io", "github.io"), "u@t.me.github.io": ("me.github.io", "github.io"), "10.0.0.1:8": ("10.0.0.1", "10.0.0.1"), "plain": ("plain", "plain"), "a.unknown": ("a.unknown", "unknown"), "": ("", "")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in reputation.listed_levels(hosts, suffixes).collect()} == want
+    pages = spark.createDataFrame([(k, f"http://{'bad' if k % 2 else 'good'}.github.io/{k}") for k in range(80)], "page_id long, url string")
+    verdicts = reputation.judge_urls(pages, pages.selectExpr("page_id", "cast(page_id % 2 as int) bad"), (), suffixes=suffixes).select("host", "verdict").distinct().collect()
+    assert {tuple(v) for v in verdicts} == {("bad.github.io", "block"), ("good.github.io", "allow")}
