@@ -6,8 +6,9 @@ closes a package once it holds package_bytes of records.
 
 Reading. The end record, the ZIP64 locator and end record where there are any, and the central directory are
 parsed from ranges at the file's end; a member's data begins after its local header, whose own name and
-extra lengths count. Records are then read by the index's offsets, or one after another where an archive has
-no index. Nothing is extracted. Files are opened by their own store's file system, so a package may lie in any.
+extra lengths count. Records are then read by the offsets of the package's indexes, plain or compressed: this
+writer's lines, lines that end in a JSON object with offset, length and filename, or columns named by a CDX header. An
+archive that no index line names, or of an index with a line of another form, is read one record after another. Nothing is extracted. Files are opened by their own store's file system, so a package may lie in any.
 
 Tasks write files of names of their own and report them in a table; readers open only files of that table,
 so what a lost or repeated task left behind is never read.
@@ -18,8 +19,10 @@ the smallest page_id (rows of that same id are all responses); a row without pag
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -130,7 +133,7 @@ def warc_record(kind: str, url: str, payload: bytes, *, headers: dict[str, str],
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record at the beginning of raw."""
     end = raw.index(b"\r\n\r\n")
-    first, *lines = raw[:end].decode("utf-8", "surrogatepass").split("\r\n")
+    first, *lines = raw[:end].decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -165,19 +168,60 @@ def package(records: list[tuple[bytes, str]]) -> bytes:
     return out.getvalue()
 
 
+def index_entries(data: str) -> list[tuple[str | None, int, int]] | None:
+    """Archive (None: not named), offset and length of each line of an index; None if a line is of no known form."""
+    out, columns = [], None
+    for line in data.splitlines():
+        if not line.strip() or line.startswith(("!", "#")):
+            continue
+        if line.split()[0] == "CDX":
+            columns = line.split()[1:]
+            continue
+        fields = line.split()
+        try:
+            if line.rstrip().endswith("}"):
+                entry = json.loads(line[line.index("{") :])
+                out.append((entry.get("filename"), int(entry["offset"]), int(entry["length"])))
+            elif columns:
+                entry = dict(zip(columns, fields, strict=True))
+                out.append((entry.get("g"), int(entry["V"]), int(entry["S"])))
+            else:
+                out.append((None, int(fields[0]), int(fields[1])))
+        except (ValueError, KeyError, IndexError, TypeError):
+            return None
+    return out
+
+
+def indexed_places(source, members: list[Member], archives: list[Member]) -> dict[str, list[tuple[int, int]]]:
+    """By archive, offsets and lengths of the records that the package's indexes name; none for archives that are to be read through."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for m in members:
+        if not m.name.startswith("indexes/") or not m.name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            continue
+        data = read_member(source, m)
+        entries = index_entries((gzip.decompress(data) if m.name.endswith(".gz") else data).decode("utf-8", "replace"))
+        if entries is None:
+            return {}
+        for name, offset, length in entries:
+            own = [a for a in archives if name is None or a.name == name or a.name.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]]
+            if len(own) != 1:
+                return {}
+            places.setdefault(own[0].name, []).append((offset, length))
+    return places
+
+
 def records_of(source, size: int) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
     """Archive, offset, headers and block of every record in a package."""
     members = central_directory(source, size)
     archives = [m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))]
-    indexes = [m for m in members if m.name == INDEX]
+    places = indexed_places(source, members, archives)
     for m in archives:
         if m.method:
             raise ValueError(f"{m.name} isn't stored")
         begin = data_offset(source, m)
         zipped = m.name.endswith(".gz")
-        if indexes and m.name == ARCHIVE:
-            for line in read_member(source, indexes[0]).decode().splitlines():
-                at, length = map(int, line.split()[:2])
+        if m.name in places:
+            for at, length in places[m.name]:
                 raw = read_at(source, begin + at, length)
                 headers, block, _ = parse_record(gunzipped(raw)[0] if zipped else raw)
                 yield m.name, at, headers, block
@@ -266,12 +310,14 @@ def read_archives(packages: DataFrame) -> DataFrame:
                 rows = []
                 with store.open_input_file(at) as source:
                     for archive, offset, h, block in records_of(source, size):
-                        kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha256:")
+                        kind, named = h["warc-type"], h.get("warc-payload-digest", "")
+                        digest = named.removeprefix("sha256:")
                         n = int(h.get("x-payload-length", 0))
                         if kind == "response":
                             body = payload_of(block)
                             n, found = len(body), hashlib.sha256(body).hexdigest()
-                            if digest and digest != found:
+                            # Other writers' digests may be of another kind or form: only bare hexadecimal ones are compared.
+                            if named.startswith("sha256:") and len(digest) == 64 and digest.lower() != found:
                                 raise ValueError(f"{path}: the payload at {offset} doesn't match its digest")
                             digest = found
                         number = lambda k: int(h[k]) if k in h else None

@@ -1,7 +1,9 @@
+import gzip
 import hashlib
 import io
 import struct
 import zipfile
+import zlib
 
 import pytest
 
@@ -85,3 +87,50 @@ def test_broken_files():
     for data in (b"", b"PK\x05\x06", b"not a zip at all" * 10):
         with pytest.raises(ValueError):
             A.central_directory(io.BytesIO(data), len(data))
+
+
+def foreign(archives, indexes):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, data in {**indexes, **archives}.items():
+            z.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def gz(data):
+    c = zlib.compressobj(9, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("kind", ["cdxj", "cdxj.gz", "cdx", "unknown", "two without names"])
+def test_packages_of_other_writers(kind):
+    """Index lines with JSON, compressed ones, CDX columns; and lines of no known form, so that the archives are read through."""
+    numbers = {"one.warc.gz": (3, 70_000, 5), "two.warc.gz": (9, 1)}
+    bodies, lines = {}, []
+    for name, ns in numbers.items():
+        at, data = 0, b""
+        for n in ns:
+            z = gz(record(n))
+            lines.append((name, at, len(z), n))
+            data, at = data + z, at + len(z)
+        bodies[f"archive/{name}"] = data
+    lines = [x for x in lines if x[3] != 5] if kind.startswith("cdx") else lines
+    text = {
+        "cdxj": "".join(f'com,u)/{n} 2020 {{"url": "http://u/{n}", "offset": "{at}", "length": {size}, "filename": "{name}"}}\n' for name, at, size, n in lines),
+        "cdx": " CDX N b a S V g\n" + "".join(f"com,u)/{n} 2020 http://u/{n} {size} {at} {name}\n" for name, at, size, n in lines),
+        "unknown": "some other index\n",
+        "two without names": "".join(f"{at} {size} response\n" for _, at, size, _ in lines),
+    }
+    data = {"indexes/index.cdxj.gz": gzip.compress(("!meta\n" + text["cdxj"]).encode())} if kind == "cdxj.gz" else {"indexes/index.cdx": text[kind].encode()}
+    package = foreign(bodies, data)
+    got = [(name, h["x-page-id"], len(A.payload_of(b))) for name, _, h, b in A.records_of(io.BytesIO(package), len(package))]
+    assert sorted(got) == sorted((f"archive/{name}", str(n), n) for name, _, _, n in lines)
+
+
+def test_digests_of_other_kinds_are_not_compared(spark, tmp_path):
+    body = A.warc_record("response", "http://u/1", b"text", headers={}, digest="x").replace(b"sha256:x", b"sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ")
+    (tmp_path / "a.wacz").write_bytes(foreign({"archive/a.warc": body}, {}))
+    packages = spark.createDataFrame([(f"file://{tmp_path}/a.wacz", (tmp_path / "a.wacz").stat().st_size)], "path string, size long")
+    row = A.read_archives(packages).first()
+    assert (row.page_id, row.payload_bytes, row.payload_digest) == (None, 4, hashlib.sha256(b"text").hexdigest())
