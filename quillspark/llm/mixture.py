@@ -11,7 +11,8 @@ Ranks are dealt into BINS bins of a known order, of which sums are made before a
 bin in which a source's sample ends is ordered row by row, so no task sees a hot source's rows together.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last; null ids rank by
-the hash of the empty text; rows of equal rank are ordered by size, and those of equal size are alike.
+the hash of the empty text; rows of equal rank are ordered by size, and those of equal size are alike; where a passed column
+has the name of one of the result's own, that one gets an underscore.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 BINS = 1 << 16
 #: Bins to a coarse bin.
@@ -62,6 +63,10 @@ def _first_beyond(bins: DataFrame, order: str) -> DataFrame:
     return first.select("of", f"e.{order}", "e.before")
 
 
+#: Columns after the passed ones.
+ADDED = ("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_percent: int = 150, max_copies: int = 2, seed: str = "mix", passed: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row, after the passed columns of documents."""
     sizes = documents.select("doc_id", "source", F.struct(F.lit(True).alias("_"), *passed).alias("passed"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
@@ -89,7 +94,9 @@ def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_perce
     edge = placed.filter(~apart).withColumn("more", (F.col("p") > 0) & (middle <= F.col("rest")))
     copies = F.col("whole") + F.col("more").cast("long")
     out = rest.unionByName(edge).withColumn("copies", copies)
-    return out.select(*(f"passed.{c}" for c in passed), "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    names = free_names(passed, ADDED)
+    return out.select(*(F.col(f"passed.`{c}`") for c in passed), *(F.col(c).alias(names[c]) for c in ADDED))
 
 
 #: SQL for mix() with its default parameters.

@@ -58,3 +58,10 @@ def test_inclusion_is_fair(spark, sf_dir):
     out = mixture.mix(docs)
     r = out.agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).first()
     assert r.t == pytest.approx(1.5 * r.s, rel=0.05)
+
+
+def test_passed_columns_with_names_of_own_ones(spark):
+    docs = documents(spark, [(k, "a b c", "en", f"s{k % 3}") for k in range(12)], ["size", "Target", "a.b"])
+    out = mixture.mix(docs, passed=["size", "Target", "a.b", "text"])
+    assert out.columns == ["size", "Target", "a.b", "text", "doc_id", "size_", "source_size", "target_", "taken", "copies"]
+    assert {(r["size"], r.size_, r["a.b"]) for r in out.collect()} == {("x", 3, "x")}
