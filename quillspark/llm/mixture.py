@@ -69,7 +69,7 @@ ADDED = ("doc_id", "size", "source_size", "target", "taken", "copies")
 
 def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_percent: int = 150, max_copies: int = 2, seed: str = "mix", passed: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row, after the passed columns of documents."""
-    sizes = documents.select("doc_id", "source", F.struct(F.lit(True).alias("_"), *passed).alias("passed"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
+    sizes = documents.select("doc_id", "source", F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in passed)).alias("passed"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
     sizes = written(sizes, "sizes")
     targets = source_targets(sizes, weights=weights, total_percent=total_percent, max_copies=max_copies)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
