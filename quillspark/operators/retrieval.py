@@ -8,7 +8,8 @@ ones) runs over at most `pool` candidates of one query.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -247,47 +248,120 @@ def candidates(units: DataFrame, query: Query, vectors: DataFrame | None = None)
 
 # --- selection ---
 
+#: What a clause, a topic and a subfacet that nothing chosen has, and a document without a choice, add to a candidate's score; what an earlier choice of its document takes.
+NEW_CLAUSE, NEW_TOPIC, NEW_SUBFACET, NEW_DOCUMENT, SAME_DOCUMENT, ANY_CLAUSE = 18.0, 12.0, 8.0, 6.0, 5.0, 1.5
 
-def overlap(a: Sequence, b: Sequence) -> float:
+
+@dataclass(frozen=True)
+class Topic:
+    """A subject that a question may ask for: words that speak of it, and subfacets by name with their words."""
+
+    name: str
+    words: tuple[str, ...]
+    subfacets: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    def asked(self, text: str) -> bool:
+        return any(w in text for w in self.words)
+
+    def facets(self, text: str) -> set[tuple[str, str]]:
+        return {(self.name, facet) for facet, words in self.subfacets if any(w in text for w in words)}
+
+
+class Candidate:
+    """A candidate with what comparisons need, made once."""
+
+    def __init__(self, row: dict, place: int, topics: Sequence[Topic]):
+        self.row, self.place, self.document = row, place, row["document_version_id"]
+        self.text = T.normalized(row["text"]).lower()
+        self.clauses, self.evidence, self.tokens = frozenset(row["clause_hits"]), frozenset(row["evidence_ids"]), frozenset(T.search_tokens_of(self.text))
+        whole = "\n".join([*row.get("section_titles", ()), row["text"]]).lower()
+        self.topics = frozenset(t.name for t in topics if t.asked(whole))
+        self.facets = frozenset().union(*(t.facets(whole) for t in topics if t.name in self.topics))
+
+    def repeats(self, other: Candidate) -> bool:
+        """Within one document: equal text, like words in one section, containment of longer texts, or mostly shared evidence."""
+        if self.document != other.document:
+            return False
+        short, long = sorted((self.text, other.text), key=len)
+        rules = (
+            lambda: short == long,
+            lambda: len(short) >= 40 and short in long,
+            lambda: self.row["section_path"] == other.row["section_path"] and overlap(self.tokens, other.tokens) >= 0.8,
+            lambda: overlap(self.evidence, other.evidence) >= 0.7,
+        )
+        return any(rule() for rule in rules)
+
+
+def overlap(a: Collection, b: Collection) -> float:
     a, b = set(a), set(b)
     return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
 
 def is_duplicate(one: dict, other: dict) -> bool:
-    """Within one document: equal text, like words in one section, containment of longer texts, or mostly shared evidence."""
-    if one["document_version_id"] != other["document_version_id"]:
-        return False
-    a, b = (T.normalized(x["text"]).lower() for x in (one, other))
-    if a == b or (one["section_path"] == other["section_path"] and overlap(T.search_tokens_of(a), T.search_tokens_of(b)) >= 0.8):
+    return Candidate(one, 0, ()).repeats(Candidate(other, 1, ()))
+
+
+class Selection:
+    """Choices so far, and the candidates that are still open: each choice closes those that repeat it."""
+
+    def __init__(self, pool: list[dict], query: Query, topics: Sequence[Topic]):
+        self.query, low = query, query.text.lower()
+        self.topics = [t for t in topics if t.asked(low)]
+        self.missing = {f for t in self.topics for f in t.facets(low)}
+        self.open = [Candidate(row, n, self.topics) for n, row in enumerate(pool)]
+        self.repeating: set[int] = set()
+        self.chosen: list[Candidate] = []
+        self.clauses: set[int] = set()
+        self.covered: set[str] = set()
+        self.facets: set[tuple[str, str]] = set()
+        self.per_document: Counter[str] = Counter()
+
+    def admits(self, c: Candidate) -> bool:
+        """A document's limit and repeats hold unless the candidate alone brings a subfacet that was asked for."""
+        if c.facets & self.missing:
+            full = self.per_document[c.document] >= self.query.per_document
+            return not full or not any(o.facets & self.missing and self.per_document[o.document] < self.query.per_document for o in self.open)
+        return c.place not in self.repeating and self.per_document[c.document] < self.query.per_document
+
+    def worth(self, c: Candidate) -> float:
+        seen = self.per_document[c.document]
+        new = NEW_CLAUSE * len(c.clauses - self.clauses) + NEW_TOPIC * len(c.topics - self.covered) + NEW_SUBFACET * len(c.facets - self.facets)
+        return c.row["score"] + new + (-SAME_DOCUMENT * seen if seen else NEW_DOCUMENT) + ANY_CLAUSE * len(c.clauses)
+
+    def order(self, c: Candidate) -> tuple:
+        """Of equal worth the first of the pool; once all clauses are covered, documents without a choice come first."""
+        if len(self.clauses) < len(self.query.clauses):
+            return (c.place,)
+        return (bool(self.per_document[c.document]), -c.row["score"], -len(c.clauses), c.place)
+
+    def take(self, options: list[Candidate]) -> bool:
+        if not options:
+            return False
+        best = min(options, key=lambda c: (-self.worth(c), self.order(c)))
+        self.open.remove(best)
+        self.chosen.append(best)
+        self.per_document[best.document] += 1
+        self.clauses |= best.clauses
+        self.covered |= best.topics
+        self.facets |= best.facets
+        self.missing -= best.facets
+        self.repeating |= {c.place for c in self.open if c.place not in self.repeating and c.repeats(best)}
         return True
-    return (min(len(a), len(b)) >= 40 and (a in b or b in a)) or overlap(one["evidence_ids"], other["evidence_ids"]) >= 0.7
-
-
-def select(pool: list[dict], query: Query) -> list[dict]:
-    """Greedy choice of top_k: scores with rewards for new clauses and documents and a charge for documents chosen before."""
-    chosen: list[dict] = []
-    covered: set[int] = set()
-    count: dict[str, int] = {}
-    left = list(pool)
-    everything = set(range(len(query.clauses)))
-    while left and len(chosen) < query.top_k:
-        best, best_value = None, None
-        for c in left:
-            n = count.get(c["document_version_id"], 0)
-            if n >= query.per_document or any(is_duplicate(c, o) for o in chosen):
-                continue
-            value = c["score"] + 18 * len(set(c["clause_hits"]) - covered) + (6 if not n else -5 * n) + 1.5 * len(c["clause_hits"])
-            if best_value is None or value > best_value:
-                best, best_value = c, value
-        if best is None:
-            break
-        chosen.append(best)
-        left.remove(best)
-        count[best["document_version_id"]] = count.get(best["document_version_id"], 0) + 1
-        covered |= set(best["clause_hits"])
-        if covered >= everything:
-            left.sort(key=lambda c: (c["document_version_id"] in count, -c["score"], -len(c["clause_hits"])))
-    return chosen or pool[: query.top_k]
+
+    def run(self) -> list[dict]:
+        for topic in self.topics:  # a seed for each topic that the question asks for
+            if len(self.chosen) < self.query.top_k and topic.name not in self.covered:
+                self.take([c for c in self.open if topic.name in c.topics and self.admits(c)])
+        while len(self.chosen) < self.query.top_k:
+            options = [c for c in self.open if self.admits(c)]
+            if not self.take([c for c in options if c.facets & self.missing] or options):
+                break
+        return [c.row for c in self.chosen]
+
+
+def select(pool: list[dict], query: Query, topics: Sequence[Topic] = ()) -> list[dict]:
+    """Greedy choice of top_k: scores with rewards for what is new and a charge for documents chosen before; the pool's beginning if nothing is admitted."""
+    return Selection(pool, query, topics).run() or pool[: query.top_k]
 
 
 # --- packs ---
@@ -329,9 +403,9 @@ class ContextPack:
     markdown: str
 
 
-def context_pack(units: DataFrame, query: Query, *, budget: int | None = None, vectors: DataFrame | None = None, rerank: Callable[[list[dict]], list[dict]] | None = None) -> ContextPack:
+def context_pack(units: DataFrame, query: Query, *, budget: int | None = None, vectors: DataFrame | None = None, rerank: Callable[[list[dict]], list[dict]] | None = None, topics: Sequence[Topic] = ()) -> ContextPack:
     pool = [r.asDict(recursive=True) for r in candidates(units, query, vectors).collect()]  # at most query.pool rows
-    rows = select(pool, query)
+    rows = select(pool, query, topics)
     rows = rerank(rows) if rerank else rows
     notes = list(dict.fromkeys(f"quality_gate_bypassed:{r['document_version_id']}" for r in rows if r.get("allowed") is False))
     rows, notes = within_tokens(query.text, rows, budget, notes)
