@@ -1,15 +1,17 @@
 """Text expressions: normalising, identifiers, token estimates, tokenizers and weights.
 
-All of them are Column expressions, so they stay in the JVM; the same rules in Python serve queries, which
-are few and short, on the driver.
+Most are Column expressions, so they stay in the JVM; the same rules in Python serve queries, which are few
+and short, on the driver. Sparse features are counted in Python, row by row in Arrow batches, which saves their shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +121,19 @@ def search_tokens(text: Column) -> Column:
     return F.concat(_runs(low, ASCII_TOKEN), F.flatten(F.transform(_runs(low, CJK_RUN), lambda r: cjk_grams(r, STOPGRAMS))))
 
 
+def grams_of(run: str, longest: int = 4, whole: int = 8) -> Iterator[str]:
+    """As cjk_grams: pieces of 2 to longest characters, then the run itself if it is short."""
+    for size in range(2, longest + 1):
+        yield from map("".join, zip(*(run[k:] for k in range(size)), strict=False))
+    if len(run) <= whole:
+        yield run
+
+
 def search_tokens_of(text: str) -> Counter[str]:
-    low = normalized(text).lower()
-    out = Counter(t for t in re.findall(ASCII_TOKEN, low) if len(t) >= 2)
-    for run in re.findall("[一-鿿]+", low):
-        grams = [run[i : i + s] for s in range(2, min(4, len(run)) + 1) for i in range(len(run) - s + 1)]
-        if 2 <= len(run) <= 8:
-            grams.append(run)
-        out.update(g for g in grams if g not in STOPGRAMS)
-    return out
+    """The tokens of search_tokens, counted."""
+    low = text.lower()
+    plain, runs = (re.findall(f"{kind.rstrip('+')}{{2,}}", low) for kind in (ASCII_TOKEN, CJK_RUN))
+    return Counter([*plain, *(g for run in runs for g in grams_of(run) if g not in STOPGRAMS)])
 
 
 def memory_tokens(text: Column) -> Column:
@@ -158,26 +164,56 @@ def feature_weight(token: Column) -> Column:
     return _by_length(token, (2.4, 1.8, 1.2), (1.6, 1.25, 1.0))
 
 
+def features_of(low: str, marks: list[tuple[re.Pattern, str, float]]) -> dict[str, float]:
+    """The summed sparse features of a lower-cased text: tokens, parts of tokens with _, CJK runs, and marks that it holds."""
+    out: dict[str, float] = defaultdict(float)
+    for t, n in Counter(ASCII_RUN.findall(low)).items():
+        out[f"ascii:{t}"] += n * (2.4 if len(t) >= 12 else 1.8 if len(t) >= 6 else 1.2)
+        if "_" in t:
+            for part in t.split("_"):
+                if len(part) >= 2:
+                    out[f"ascii:{part}"] += n * 0.7
+    for run in () if low.isascii() else CJK_RUN_OF_TWO.findall(low):
+        for g in grams_of(run, whole=0):
+            out[f"cjk:{g}"] += wide_weight(g)
+        if len(run) <= 8:
+            out[f"cjk:{run}"] += wide_weight(run) + 0.4
+    for pattern, name, weight in marks:
+        if pattern.search(low):
+            out[name] += weight
+    return out
+
+
+def wide_weight(gram: str) -> float:
+    return 1.6 if len(gram) >= 4 else 1.25 if len(gram) == 3 else 1.0
+
+
+ASCII_RUN, CJK_RUN_OF_TWO = re.compile(f"{ASCII_TOKEN.rstrip('+')}{{2,}}"), re.compile(f"{CJK_RUN.rstrip('+')}{{2,}}")
+
+
 def feature_weights(frame: DataFrame, key: str, text: Column, concepts: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = ()) -> DataFrame:
-    """key, feature and weight: the summed sparse features of each row's text.
+    """key, feature and weight: the summed sparse features of each row's text; keys are unique.
 
-    Tokens, parts of tokens with _, CJK runs, synonym groups and concepts. Tokens are counted by row first, so
-    weights and parts are made once for each.
+    A text's features are summed within its row, so nothing is shuffled to make them.
     """
-    rows = frame.select(key, F.lower(text).alias("low"))
-    tokens = rows.select(key, F.explode(_runs(F.col("low"), ASCII_TOKEN)).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n"))
-    plain = tokens.select(key, F.concat(F.lit("ascii:"), "t").alias("feature"), (feature_weight(F.col("t")) * F.col("n")).alias("weight"))
-    split = tokens.filter(F.col("t").contains("_")).select(key, "n", F.explode(F.split("t", "_")).alias("p")).filter(F.length("p") >= 2)
-    parts = split.select(key, F.concat(F.lit("ascii:"), "p").alias("feature"), (F.col("n") * 0.7).alias("weight"))
-    runs = rows.filter(F.col("low").rlike(CJK_RUN)).select(key, F.explode(_runs(F.col("low"), CJK_RUN)).alias("r"))
-    grams = runs.select(key, F.explode(cjk_grams(F.col("r"), (), whole=0)).alias("g")).select(key, F.concat(F.lit("cjk:"), "g").alias("feature"), feature_weight(F.col("g")).alias("weight"))
-    whole = runs.filter(F.length("r") <= 8).select(key, F.concat(F.lit("cjk:"), "r").alias("feature"), (feature_weight(F.col("r")) + 0.4).alias("weight"))
-    marks = [(r"|".join(g), "syn:" + "|".join(g), 1.2) for g in SYNONYMS]
+    marks = [("|".join(g), "syn:" + "|".join(g), 1.2) for g in SYNONYMS]
     marks += [("|".join([*wide, *(r"(?<![a-z0-9])" + re.escape(a) for a in ascii_)]), f"concept:{name}", 1.4) for name, wide, ascii_ in concepts]
-    found = F.array_compact(F.array(*(F.when(F.col("low").rlike(p), F.struct(F.lit(name).alias("feature"), F.lit(w).alias("weight"))) for p, name, w in marks)))
-    shared = rows.select(key, F.inline(found))
-    every = plain.unionByName(parts).unionByName(grams).unionByName(whole).unionByName(shared)
-    return every.groupBy(key, "feature").agg(F.sum("weight").alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = [(re.compile(p), name, w) for p, name, w in marks]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows, names, weights = [], [], []
+                for n, low in enumerate(batch.column(1).to_pylist()):
+                    found = features_of(low or "", patterns)
+                    rows += [n] * len(found)
+                    names += found
+                    weights += found.values()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=[key, "feature", "weight"])
+
+    rows = frame.select(key, F.lower(text).alias("low"))
+    return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, feature string, weight double")
 
 
 def clauses_of(query: str) -> list[str]:
@@ -217,3 +253,26 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """Distinct names of functions and constants: words with _ or before (), in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[A-Za-z_][A-Za-z0-9_]*(?=\(\))"), F.lit(0)))
+
+
+# Characters that stand in text that was decoded wrongly, and bounds of a trusted text layer.
+LATIN1_MOJIBAKE = "ÃÂÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ¡¢£¤¥¦§¨ª«¬®¯±²³´µ¶¸¹º»¼½¾¿"
+LEAST_LAYER_CHARS, LEAST_CJK, LEAST_SUSPECTS, MOST_SUSPECTS_PER_1K, MOST_LATIN1 = 40, 20, 3, 50.0, 0.12
+
+
+def text_layer_quality(text: Column) -> Column:
+    """Of a page's text layer: char_count, cjk_count, suspect_count, suspects_per_1k_cjk, latin1_ratio and reason_codes."""
+    plain = normalize_space(F.coalesce(text, F.lit("")))
+    n, cjk = F.length(plain), count_class(plain, "一-鿿")
+    latin1 = count_class(plain, LATIN1_MOJIBAKE)
+    suspects = latin1 + count_class(plain, "぀-ゟ゠-ヿ")
+    per_1k = F.when(cjk > 0, suspects * 1000 / cjk).otherwise(0.0)
+    ratio = F.when(n > 0, latin1 / n).otherwise(0.0)
+    reasons = F.array_compact(
+        F.array(
+            F.when(n < LEAST_LAYER_CHARS, "text_too_short"),
+            F.when((cjk >= LEAST_CJK) & (suspects >= LEAST_SUSPECTS) & (per_1k > MOST_SUSPECTS_PER_1K), "mojibake_suspect_ratio_high"),
+            F.when((n >= LEAST_LAYER_CHARS) & (cjk < LEAST_CJK) & (ratio > MOST_LATIN1), "latin1_mojibake_ratio_high"),
+        )
+    )
+    return F.struct(n.alias("char_count"), cjk.alias("cjk_count"), suspects.alias("suspect_count"), per_1k.alias("suspects_per_1k_cjk"), ratio.alias("latin1_ratio"), reasons.alias("reason_codes"))

@@ -12,11 +12,12 @@ from ..operators import quality as Q
 from ..operators import replies as P
 from ..operators import retrieval as R
 from ..sources.parsers import explode_blocks
+from ..storage import spread, stored
 from ..streaming.ingest import windowed_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,20 +49,20 @@ def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artefact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of blocks and chunks, with the decisions that the default policy makes of them."""
     blocks = D.canonical(_versions(spark, sf_dir)).withColumn("page_start", F.lit(None).cast("int")).withColumn("page_end", F.lit(None).cast("int"))
-    blocks = blocks.persist()  # read by ten detectors
-    signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(_chunks(spark, sf_dir).persist(), blocks))
+    blocks, chunks = stored(blocks, "blocks"), stored(_chunks(spark, sf_dir), "chunks")
+    signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(chunks, blocks))
     return Q.decisions(signals).select("reason_code", "document_version_id", "object_id", "recommended_action", "effective_action", "decision_id")
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that a pack for one question holds, in order."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = stored(_chunks(spark, sf_dir), "chunks")
     empty = F.array().cast("array<string>")
     units = chunks.withColumn("section_titles", empty).unionByName(R.merged_windows(chunks.withColumn("section_titles", empty)))
     labels = _table(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("document_version_id"), (F.col("quality") == 1).alias("allowed"))
     versions = _versions(spark, sf_dir).select("document_version_id", F.col("document_version_id").alias("title")).join(labels, "document_version_id", "left")
     units = units.join(versions, "document_version_id").withColumn("quality_score", F.lit(50.0)).withColumn("tokens", R.T.search_tokens(F.concat_ws("\n", "title", "text")))
-    units = units.persist()  # the stored units of an index, of which a pack reads statistics, hits and scores
+    units = stored(units, "units")  # as an index stores them; a pack reads statistics, hits and scores of them
     pack = R.context_pack(units, R.Query("onerth inea thtion, edth reerin", top_k=8), budget=2000)
     rows = [(n, r["chunk_id"], r["document_version_id"], r["score"]) for n, r in enumerate(pack.chunks, 1)]
     return spark.createDataFrame(rows, "position int, chunk_id string, document_version_id string, score double")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import spread, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def filter_metadata(frame: DataFrame, filters: dict[str, list[str]], allowed: tuple[str, ...]) -> DataFrame:
@@ -84,8 +86,9 @@ def duplicates(frame: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are normalised and hashed once; the table of hashes is grouped and joined."""
     plain = F.lower(T.normalize_space(F.col("text")))
-    return duplicates(table(spark, sf_dir, "documents").select("doc_id", F.sha2(plain.cast("binary"), 256).alias("content")), "doc_id", "content")
+    return duplicates(stored(table(spark, sf_dir, "documents").select("doc_id", F.sha2(plain.cast("binary"), 256).alias("content")), "contents"), "doc_id", "content")
 
 
 SQL_DUPLICATES = r"""
@@ -124,13 +127,14 @@ SQL_TRACEABLE = "SELECT source, count(*) AS n, count(l.doc_id) AS n_traceable, r
 POLICY = (("document.content.too_short", "soft", "warn"), ("document.content.too_long", "soft", "warn"), ("document.content.duplicate", "soft", "quarantine"), ("document.quality.low", "hard", "quarantine"), ("document.toxicity.flagged", "hard", "reject"))
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _signals(spark: SparkSession, sf_dir: str, copies: DataFrame | None = None) -> DataFrame:
+    copies = exact_duplicates(spark, sf_dir) if copies is None else copies
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
     labels = table(spark, sf_dir, "labels")
     parts = [
         (docs.filter("n < 40"), 0, F.col("n").cast("string")),
         (docs.filter("n > 8000"), 1, F.col("n").cast("string")),
-        (exact_duplicates(spark, sf_dir), 2, F.col("first").cast("string")),
+        (copies, 2, F.col("first").cast("string")),
         (labels.filter("quality = 0"), 3, F.lit("0")),
         (labels.filter("toxic = 1"), 4, F.lit("1")),
     ]
@@ -172,8 +176,9 @@ SQL_DECISIONS = f"SELECT severity, recommended_action, CASE WHEN recommended_act
 
 def quarantine_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under a hard signal, and the duplicates of such, each once; a direct decision wins."""
-    hard = _signals(spark, sf_dir).join(F.broadcast(policy_table(spark)), "reason_code").filter("recommended_action <> 'warn'").select("doc_id").distinct()
-    copies = exact_duplicates(spark, sf_dir).join(hard.withColumnRenamed("doc_id", "first"), "first").select("doc_id", F.lit(1).alias("source"))
+    found = stored(exact_duplicates(spark, sf_dir), "copies")
+    hard = _signals(spark, sf_dir, found).join(F.broadcast(policy_table(spark)), "reason_code").filter("recommended_action <> 'warn'").select("doc_id").distinct()
+    copies = found.join(hard.withColumnRenamed("doc_id", "first"), "first").select("doc_id", F.lit(1).alias("source"))
     rows = hard.withColumn("source", F.lit(0)).unionByName(copies)
     return rows.groupBy("doc_id").agg(F.when(F.min("source") == 0, "direct").otherwise("propagated").alias("via"))
 

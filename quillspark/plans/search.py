@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import spread, stored
 
 QUERY = "the onerth inea tion"
 TERMS = T.search_tokens_of(QUERY)
@@ -22,7 +23,7 @@ SQL_TOKENS = r"list_filter(regexp_extract_all(lower(text), '[a-z0-9_./=-]+'), la
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,7 @@ def feature_frequencies(features: DataFrame) -> DataFrame:
 
 def sparse_cosine_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The documents most like benchmark item 0 by idf-weighted sparse vectors."""
-    features = feature_table(documents(spark, sf_dir).select("doc_id", "text"))
+    features = stored(feature_table(documents(spark, sf_dir).select("doc_id", "text")), "features")
     n = documents(spark, sf_dir).count()
     df = feature_frequencies(features).withColumn("idf", F.log(1 + (F.lit(float(n)) + 1) / (F.col("df") + 1)))
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id = 0").select("item_id", "text")
@@ -273,8 +274,7 @@ SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY simila
 
 def sparse_cosine_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """For every benchmark item whose number is divisible by 50 the documents most like it by idf-weighted sparse vectors."""
-    # Dealt by doc_id once, so the features of a document are summed where its text is.
-    features = feature_table(documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id"))
+    features = stored(feature_table(documents(spark, sf_dir).select("doc_id", "text")), "features")
     n = documents(spark, sf_dir).count()
     df = feature_frequencies(features).withColumn("idf", F.log(1 + (F.lit(float(n)) + 1) / (F.col("df") + 1))).select("feature", "idf")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter(F.col("item_id") % QUERY_EVERY == 0).select("item_id", "text")
@@ -318,7 +318,8 @@ def rank_bonus(hits: DataFrame, scale: float, weight: Column, extra: Column | No
 
 def hybrid_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and BM25 ranks (the first 50 of each), turned into bonuses, united by their sum, first 20."""
-    frame = bm25(units(spark, sf_dir), TERMS).withColumn("lexical", lexical_score(units(spark, sf_dir), TERMS))
+    frame = bm25(units(spark, sf_dir), TERMS)
+    frame = stored(frame.select("doc_id", "bm25", lexical_score(frame, TERMS).alias("lexical")), "scores")
     parts = []
     for variant, (column, scale, weight) in enumerate((("bm25", 72.0, 1.0), ("lexical", 54.0, 2.0))):
         top = frame.filter(F.col(column) > 0).select(F.col("doc_id").alias("id"), F.round(column, 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
@@ -396,6 +397,27 @@ WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[^0-9A-Za-z\x{4E00}-\x{9FFF
 SELECT doc_id, CASE WHEN sl = '' THEN 'item' ELSE sl END AS slug FROM s
 """
 
+
+def text_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents(spark, sf_dir).select("doc_id", T.text_layer_quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return found.withColumns({"suspects_per_1k_cjk": F.round("suspects_per_1k_cjk", 6), "latin1_ratio": F.round("latin1_ratio", 6), "reason_codes": F.array_join("reason_codes", ",")})
+
+
+SQL_LAYER = rf"""
+WITH n AS (
+  SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS p FROM documents
+), c AS (
+  SELECT doc_id, length(p)::INT AS char_count, (length(p) - length(regexp_replace(p, '[\x{{4E00}}-\x{{9FFF}}]', '', 'g')))::INT AS cjk_count,
+         (length(p) - length(regexp_replace(p, '[{T.LATIN1_MOJIBAKE}]', '', 'g')))::INT AS l, (length(p) - length(regexp_replace(p, '[\x{{3040}}-\x{{30FF}}]', '', 'g')))::INT AS k FROM n
+), r AS (
+  SELECT *, l + k AS suspect_count, CASE WHEN cjk_count > 0 THEN (l + k) * 1000.0::DOUBLE / cjk_count ELSE 0 END AS s, CASE WHEN char_count > 0 THEN l::DOUBLE / char_count ELSE 0 END AS q FROM c
+)
+SELECT doc_id, char_count, cjk_count, suspect_count, round(s, 6) AS suspects_per_1k_cjk, round(q, 6) AS latin1_ratio,
+       concat_ws(',', CASE WHEN char_count < 40 THEN 'text_too_short' END, CASE WHEN cjk_count >= 20 AND suspect_count >= 3 AND s > 50 THEN 'mojibake_suspect_ratio_high' END,
+                 CASE WHEN char_count >= 40 AND cjk_count < 20 AND q > 0.12 THEN 'latin1_mojibake_ratio_high' END) AS reason_codes
+FROM r
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bm25_topk": (bm25_topk, SQL_BM25),
     "term_document_frequency": (term_document_frequency, SQL_DF),
@@ -412,4 +434,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "identifier_extraction": (identifier_extraction, SQL_NAMES),
     "normalized_text": (normalized_text, SQL_NORMALIZED),
     "full_text_slugs": (full_text_slugs, SQL_SLUGS),
+    "text_layer_quality": (text_layer_quality, SQL_LAYER),
 }
