@@ -22,7 +22,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file whole: write beside it, then rename."""
+    """Replace a small file whole: write beside it, then rename over it in one step, so a reader finds the old one or the new one."""
     fs, target = _fs(spark, path)
     _, beside = _fs(spark, path + ".new")
     out = fs.create(beside, True)
@@ -30,9 +30,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"can't replace {path}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(target), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -59,8 +59,9 @@ class Workspace:
     def ingest_manifest(self, manifest: str, root: str, **options) -> DataFrame:
         rows = files.read_manifest(self.spark, manifest).filter("ingest_status = 'ready'")
         rows = rows.select(F.col("file_path").alias("_f"), F.col("document_title").alias("title"), F.col("slot_type").alias("source_type"), "document_version", "owner")
-        found = files.read_documents(self.spark, root)
-        return self.ingest(found.join(F.broadcast(rows), F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("_f")))).drop("_f"), **options)
+        found, folder = files.read_documents(self.spark, root), files.qualified(self.spark, root)
+        path = F.concat(F.lit(f"{folder}/"), F.regexp_replace("_f", r"^(\./)+", ""))
+        return self.ingest(found.join(rows.withColumn("path", path), "path").drop("_f"), **options)
 
     def inventory(self, path: str, **options) -> DataFrame:
         return files.inventory(files.list_files(self.spark, path), **options)

@@ -18,6 +18,12 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's path as the paths of its files begin."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and modified of the files below a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
