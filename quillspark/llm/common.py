@@ -59,6 +59,15 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def among_first(key: Column, wanted: int, n: Column) -> Column:
+    """True for the wanted keys of n distinct ones with the smallest hashes, and for few others: about twice as many in all.
+
+    What follows can then pick the first exactly without ever seeing a group's other rows. That fewer than wanted pass is
+    ruled out by over ten standard deviations.
+    """
+    return F.xxhash64(key).cast("double") / F.lit(2.0**64) + 0.5 <= (2 * wanted + 200) / n
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[list, dict]:
     """At most per_class labelled texts of each class, and each class's count of labelled rows.
 
@@ -70,7 +79,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ids = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        few = among_first(F.col("doc_id"), per_class, F.lit(float(totals.get(y, 1))))
+        part = known.filter((F.col("y") == y) & few).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
     rows = [(r.doc_id, r.text or "", r.y) for r in picked.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()]

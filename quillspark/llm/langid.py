@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, received, share
+from .common import among_first, free_names, received, share
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -301,9 +301,11 @@ def expect(table: PieceTable, p: np.ndarray, words: list[str], weight: np.ndarra
 def learn_languages(documents: DataFrame, learn: Column, vocabulary: str, *, per_language: int = 600, **options) -> LanguageModel:
     """Learn from one text each of the per_language ids of each language with the smallest hashes among those where learn holds."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & learn).select("doc_id", "lang", "text")
+    ids = rows.select("doc_id", "lang").distinct()
+    counts = ids.groupBy("lang").agg(F.count("*").cast("double").alias("_all"))  # a row for each language
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Spark keeps per_language rows of each language in every task before it shuffles them.
-    ids = rows.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).drop("_n")
+    few = ids.join(F.broadcast(counts), "lang").filter(among_first(F.col("doc_id"), per_language, F.col("_all")))
+    ids = few.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("doc_id", "lang")
     sample = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     pieces = read_pieces(vocabulary)
     shared = share(documents.sparkSession, pieces)  # as large as the vocabulary
