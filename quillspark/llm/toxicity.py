@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,18 +109,21 @@ class ToxicityModel:
         return summed
 
 
-class FeatureIds:
-    """Numbers of features in order of their first use."""
+class FeatureHashes:
+    """64-bit hashes of the features of words, which are remembered up to a bound: the names of all features would fill the driver."""
 
     def __init__(self) -> None:
-        self.names: dict[str, int] = {}
         self.of_word: dict[str, tuple[int, ...]] = {}
 
-    def encoded(self, words: set[str]) -> np.ndarray:
+    def __call__(self, words: set[str]) -> np.ndarray:
+        out: list[int] = []
         for w in words:
-            if w not in self.of_word:
-                self.of_word[w] = tuple(self.names.setdefault(f, len(self.names)) for f in word_features(w))
-        return np.unique(np.fromiter((i for w in words for i in self.of_word[w]), np.int32))
+            if (own := self.of_word.get(w)) is None:
+                if len(self.of_word) > 50_000:
+                    self.of_word.clear()
+                own = self.of_word[w] = tuple(xxhash.xxh3_64_intdigest(f) for f in word_features(w))
+            out += own
+        return np.unique(np.array(out, np.uint64))
 
 
 def calibration(z: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -160,53 +164,62 @@ def fit_toxicity(rows: list[tuple[int, str, int]], totals: dict[int, int], *, ma
 
 
 def _weighted(rows: list[tuple[int, str, int]], n0: int, n1: int, max_features: int, min_count: int, swap_penalty: float, l2: float, steps: int) -> ToxicityModel:
-    known, sets, pairs = FeatureIds(), [], []
+    hashes, sets, pairs = FeatureHashes(), [], []
     for _, text, _ in rows:
         words = set(LETTERS.findall(text.lower()))
-        sets.append(known.encoded(words))
+        sets.append(hashes(words))
         if not words.isdisjoint(SWAP):
-            pairs.append((sets[-1], known.encoded(swapped(words))))
+            pairs.append((sets[-1], hashes(swapped(words))))
     y = np.array([r[2] for r in rows], float)
     size = {k: float((y == k).sum()) for k in (0, 1)}
-    counts = {k: np.bincount(np.concatenate([s for s, label in zip(sets, y, strict=True) if label == k]), minlength=len(known.names)) for k in (0, 1)}
+    every, column = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.repeat(y, [len(s) for s in sets])
+    counts = {k: np.bincount(column[label == k], minlength=len(every)) for k in (0, 1)}
     gain = np.abs(counts[1] / size[1] - counts[0] / size[0]) * np.abs(np.log((counts[1] + 0.5) / (size[1] + 1)) - np.log((counts[0] + 0.5) / (size[0] + 1)))
-    names = sorted(known.names)
-    by_name = np.array([known.names[f] for f in names])
-    order = by_name[np.argsort(-gain[by_name], kind="stable")]
-    chosen = set(order[(counts[0] + counts[1])[order] >= min_count][:max_features].tolist())
-    chosen |= {known.names[t] for t in SWAP if t in known.names}
-    place = np.full(len(known.names), -1)
-    picked = np.array([i for i in by_name if i in chosen])
-    place[picked] = np.arange(len(picked))
+    order = np.argsort(-gain, kind="stable")
+    picked = every[order[(counts[0] + counts[1])[order] >= min_count][:max_features]]
+    terms = np.array([xxhash.xxh3_64_intdigest(t) for t in SWAP], np.uint64)
+    picked = np.union1d(picked, terms[np.isin(terms, every)])
+    del every, column, label, counts, gain, order
 
     def sparse(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = place[np.concatenate(sets)] if sets else np.zeros(0, np.int64)
-        return doc[col >= 0], col[col >= 0]
+        own = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(picked, own), len(picked) - 1)
+        hit = picked[at] == own
+        return doc[hit], at[hit]
 
     d, c = sparse(sets)
     da, ca = sparse([a for a, _ in pairs])
     db, cb = sparse([b for _, b in pairs])
+    n_rows, n_pairs = len(sets), len(pairs)
+    del sets, pairs
     importance = np.where(y == 1, n1 / size[1], n0 / size[0])
     importance /= importance.sum()
     w, b = np.zeros(len(picked)), float(np.log(n1 / n0))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = b + np.bincount(d, w[c], len(sets))
+        z = b + np.bincount(d, w[c], n_rows)
         g = importance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         gw = np.bincount(c, g[d], len(w)) + l2 * w / len(w) ** 0.5
         gb = g.sum()
-        if pairs:
-            gap = np.bincount(da, w[ca], len(pairs)) - np.bincount(db, w[cb], len(pairs))
-            gap *= 2 * swap_penalty / len(pairs)
+        if n_pairs:
+            gap = np.bincount(da, w[ca], n_pairs) - np.bincount(db, w[cb], n_pairs)
+            gap *= 2 * swap_penalty / n_pairs
             gw += np.bincount(ca, gap[da], len(w)) - np.bincount(cb, gap[db], len(w))
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1 * (1 - t / (steps + 1))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    named = {i: f for f, i in known.names.items()}
-    return ToxicityModel(float(b), {named[int(i)]: float(x) for i, x in zip(picked, w, strict=True) if abs(x) > 1e-6})
+    weights = {int(h): float(x) for h, x in zip(picked, w, strict=True) if abs(x) > 1e-6}
+    named: dict[str, float] = {}
+    for _, text, _ in rows:
+        if weights:
+            for f in features(set(LETTERS.findall(text.lower()))):
+                if (x := weights.pop(xxhash.xxh3_64_intdigest(f), None)) is not None:
+                    named[f] = x
+    return ToxicityModel(float(b), named)
 
 
 def learn_toxicity(documents: DataFrame, labels: DataFrame, learn: Column, *, per_class: int = 4000, **options) -> ToxicityModel:
