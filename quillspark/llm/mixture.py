@@ -87,7 +87,8 @@ def mix(documents: DataFrame, *, weights: Sequence[int] = (5, 2, 1), total_perce
     ends = _first_beyond(fine.select("of", "bin", "words", "rest", "from"), "bin")
     ends = written(ends.select(F.col("of").alias("end_of"), F.col("bin").alias("end"), "before"), "ends")
     placed = ranked.join(ends, F.col("of").eqNullSafe(F.col("end_of")), "left")
-    apart = F.col("end").isNull() | (F.col("bin") != F.col("end"))
+    # A source whose target is a whole number of copies has no sample, so none of its rows need an order.
+    apart = (F.col("p") <= 0) | F.col("end").isNull() | (F.col("bin") != F.col("end"))
     rest = placed.filter(apart).withColumn("more", (F.col("p") > 0) & (F.col("end").isNull() | (F.col("bin") < F.col("end"))))
     row_order = Window.partitionBy("of", "bin").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(row_order) - F.col("size") / 2
