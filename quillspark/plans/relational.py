@@ -271,19 +271,9 @@ FROM events p WHERE p.event_type = 'purchase'
 """
 
 
-def term_coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items the French documents cover; corpus_term_coverage takes all documents."""
-    return _coverage(spark, sf_dir, table(spark, sf_dir, "documents").filter("lang = 'fr'"))
-
-
 def corpus_term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items the corpus covers, whatever the language of its documents."""
-    return _coverage(spark, sf_dir, table(spark, sf_dir, "documents"))
-
-
-def _coverage(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Items that the texts of docs cover: weighted share of known terms of 0.6, and enough of them."""
-    known = docs.select(F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).distinct().withColumn("hit", F.lit(1))
+    """Benchmark items that the corpus covers, whatever the language: weighted share of known terms of 0.6, and enough of them."""
+    known = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term")).distinct().withColumn("hit", F.lit(1))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
     w = T.term_weight(F.col("term"))
     per = items.join(known, "term", "left").groupBy("item_id").agg(F.count("*").alias("n_terms"), F.count("hit").alias("n_known"), F.round(F.coalesce(F.sum(F.when(F.col("hit") == 1, w)), F.lit(0.0)) / F.sum(w), 6).alias("coverage"))
@@ -292,14 +282,13 @@ def _coverage(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
 
 
 SQL_GAP = r"""
-WITH k AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./=-]+'), lambda x: length(x) >= 2)) AS term FROM documents WHERE lang = 'fr'), i AS (
+WITH k AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./=-]+'), lambda x: length(x) >= 2)) AS term FROM documents), i AS (
   SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_./=-]+'), lambda x: length(x) >= 2))) AS term FROM benchmark
 ), w AS (
   SELECT i.*, k.term IS NOT NULL AS hit, CASE WHEN length(i.term) >= 12 THEN 4.2::DOUBLE WHEN length(i.term) >= 6 THEN 2.6::DOUBLE ELSE 1.6::DOUBLE END AS w FROM i LEFT JOIN k USING (term)
 ), p AS (SELECT item_id, count(*) AS n_terms, count(*) FILTER (WHERE hit) AS n_known, round(coalesce(sum(w) FILTER (WHERE hit), 0) / sum(w), 6) AS coverage FROM w GROUP BY item_id)
 SELECT *, coverage >= 0.6 AND n_known >= greatest(1, least(3, n_terms // 2)) AS covered FROM p
 """
-SQL_CORPUS_GAP = SQL_GAP.replace(" WHERE lang = 'fr'", "")
 
 #: Cue words of each intent, in order of precedence.
 CUES = (("troubleshooting", ("error", "fail", "pas ", "nicht", "wh")), ("api", ("()", "api", "ou ")), ("inventory", ("all ", "list", "que ")), ("mechanism", ("how", "why", "tion")))
@@ -456,8 +445,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "conversation_last_turns": (conversation_last_turns, SQL_TURNS),
     "section_islands": (section_islands, SQL_ISLANDS),
     "asof_section_lookup": (asof_section_lookup, SQL_ASOF),
-    "term_coverage_gap": (term_coverage_gap, SQL_GAP),
-    "corpus_term_coverage": (corpus_term_coverage, SQL_CORPUS_GAP),
+    "corpus_term_coverage": (corpus_term_coverage, SQL_GAP),
     "phrase_containment": (phrase_containment, SQL_PHRASES),
     "ab_stats_pairing": (ab_stats_pairing, SQL_AB),
     "parser_scorecard": (parser_scorecard, SQL_SCORECARD),

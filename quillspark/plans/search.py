@@ -149,22 +149,6 @@ def feature_frequencies(features: DataFrame) -> DataFrame:
     return features.groupBy("feature").agg(F.count("*").alias("df"))
 
 
-def sparse_cosine_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The documents most like benchmark item 0 by idf-weighted sparse vectors."""
-    features = stored(feature_table(documents(spark, sf_dir).select("doc_id", "text")), "features")
-    n = documents(spark, sf_dir).count()
-    df = feature_frequencies(features).withColumn("idf", F.log(1 + (F.lit(float(n)) + 1) / (F.col("df") + 1)))
-    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id = 0").select("item_id", "text")
-    query = feature_table(item, "item_id").join(df, "feature", "left").select("feature", (F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("q"))
-    weighted = features.join(df, "feature").select("doc_id", "feature", (F.col("weight") * F.col("idf")).alias("w"))
-    # The query's features are those of one text, so they fit anywhere.
-    joined = weighted.join(F.broadcast(query), "feature", "left")
-    sums = joined.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    norm = query.agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
-    scored = sums.crossJoin(F.broadcast(norm)).filter("dot > 0")
-    return scored.select("doc_id", F.round(F.col("dot") / (F.sqrt("ww") * F.sqrt("qq")), 6).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(k)
-
-
 _FEATURES = r"""
   SELECT {key}, feature, sum(w) AS weight FROM (
     SELECT {key}, 'ascii:' || t AS feature, CASE WHEN length(t) >= 12 THEN 2.4::DOUBLE WHEN length(t) >= 6 THEN 1.8::DOUBLE ELSE 1.2::DOUBLE END AS w
@@ -173,18 +157,6 @@ _FEATURES = r"""
     SELECT {key}, 'ascii:' || p, 0.7::DOUBLE FROM (SELECT {key}, unnest(string_split(t, '_')) AS p FROM (SELECT {key}, unnest({tokens}) AS t FROM {table}) WHERE contains(t, '_')) WHERE length(p) >= 2
   ) GROUP BY ALL
 """
-SQL_SPARSE = f"""
-WITH f AS ({_FEATURES.format(key="doc_id", tokens=SQL_TOKENS, table="documents")}
-), df AS (
-  SELECT feature, ln(1 + ((SELECT count(*) FROM documents)::DOUBLE + 1) / (count(*) + 1)) AS idf FROM f GROUP BY feature
-), b AS ({_FEATURES.format(key="item_id", tokens=SQL_TOKENS, table="(SELECT * FROM benchmark WHERE item_id = 0)")}
-), q AS (
-  SELECT feature, weight * coalesce(idf, 1) AS q FROM b LEFT JOIN df USING (feature)
-), s AS (
-  SELECT doc_id, sum(weight * idf * q) AS dot, sum(weight * idf * weight * idf) AS ww FROM f JOIN df USING (feature) LEFT JOIN q USING (feature) GROUP BY doc_id
-)
-SELECT doc_id, round(dot / (sqrt(ww) * sqrt((SELECT sum(q * q) FROM q))), 6) AS similarity FROM s WHERE dot > 0 ORDER BY similarity DESC, doc_id LIMIT 10
-"""
 
 
 def feature_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,22 +166,6 @@ def feature_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_FEATURE_DF = f"SELECT feature, count(*) AS df FROM ({_FEATURES.format(key='doc_id', tokens=SQL_TOKENS, table='documents')}) GROUP BY feature"
 
 
-def dense_cosine_topk(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """The vectors nearest to vector 0 by the dot product of unit vectors; ties by number."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    size = F.greatest(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
-    unit = v.select("vec_id", F.transform("e", lambda x: x / size).alias("u"))
-    query = unit.filter("vec_id = 0").select(F.col("u").alias("q"))
-    dot = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return unit.crossJoin(F.broadcast(query.limit(1))).select("vec_id", F.round(dot, 5).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
-
-
-SQL_DENSE = """
-WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 5) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10
-"""
-
-
 QUERY_EVERY = 50
 #: Rows in a block of vectors, as queries and as rows searched.
 BLOCK = 2048
@@ -317,7 +273,7 @@ def rank_bonus(hits: DataFrame, scale: float, weight: Column, extra: Column | No
 
 
 def hybrid_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and BM25 ranks (the first 50 of each), turned into bonuses, united by their sum, first 20."""
+    """Lexical and BM25 ranks (the first 50 of each), turned into bonuses, of which a document has the larger, first 20."""
     frame = bm25(units(spark, sf_dir), TERMS)
     frame = stored(frame.select("doc_id", "bm25", lexical_score(frame, TERMS).alias("lexical")), "scores")
     parts = []
@@ -325,7 +281,7 @@ def hybrid_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = frame.filter(F.col(column) > 0).select(F.col("doc_id").alias("id"), F.round(column, 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
         ranked = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("s"), "id")).cast("double"))  # 50 rows
         parts.append(rank_bonus(ranked.withColumn("variant", F.lit(variant)), scale, F.lit(weight)))
-    both = parts[0].unionByName(parts[1]).groupBy("id").agg(F.round(F.sum("bonus"), 6).alias("bonus"))
+    both = parts[0].unionByName(parts[1]).groupBy("id").agg(F.round(F.max("bonus"), 6).alias("bonus"))
     return both.select(F.col("id").alias("doc_id"), "bonus").orderBy(F.desc("bonus"), "doc_id").limit(20)
 
 
@@ -334,7 +290,7 @@ WITH b AS ({SQL_BM25.replace('LIMIT 20', 'LIMIT 50')}), l AS ({SQL_LEXICAL.repla
   SELECT doc_id, 72.0::DOUBLE / (row_number() OVER (ORDER BY score DESC, doc_id) ** 2) AS bonus FROM b
   UNION ALL SELECT doc_id, 108.0::DOUBLE / (row_number() OVER (ORDER BY score DESC, doc_id) ** 2) FROM l
 )
-SELECT doc_id, round(sum(bonus), 6) AS bonus FROM x GROUP BY doc_id ORDER BY bonus DESC, doc_id LIMIT 20
+SELECT doc_id, round(max(bonus), 6) AS bonus FROM x GROUP BY doc_id ORDER BY bonus DESC, doc_id LIMIT 20
 """
 
 
@@ -372,14 +328,14 @@ SQL_NAMES = r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", T.normalize_space(F.col("text")).alias("plain"), T.slugify(F.substring("text", 1, 60)).alias("slug"), T.summarize(F.col("text")).alias("summary"))
+    return docs.select("doc_id", T.normalize_space(F.col("text")).alias("plain"), T.slugify(F.col("text")).alias("slug"), T.summarize(F.col("text")).alias("summary"))
 
 
 SQL_NORMALIZED = r"""
 WITH n AS (
   SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents
 ), s AS (
-  SELECT *, array_to_string(l, chr(10)) AS plain, array_to_string(l[1:3], ' ') AS line, trim(regexp_replace(substr(text, 1, 60), '[^0-9A-Za-z\x{4E00}-\x{9FFF}]+', '-', 'g'), '-') AS sl FROM n
+  SELECT *, array_to_string(l, chr(10)) AS plain, array_to_string(l[1:3], ' ') AS line, trim(regexp_replace(text, '[^0-9A-Za-z\x{4E00}-\x{9FFF}]+', '-', 'g'), '-') AS sl FROM n
 )
 SELECT doc_id, coalesce(plain, '') AS plain, CASE WHEN sl = '' THEN 'item' ELSE sl END AS slug,
        CASE WHEN length(coalesce(line, '')) <= 180 THEN coalesce(line, '') ELSE rtrim(substr(line, 1, 179)) || '…' END AS summary
@@ -387,17 +343,6 @@ FROM s
 """
 
 
-def full_text_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slug of each whole text; normalized_text's is that of the first 60 characters."""
-    return documents(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("slug"))
-
-
-SQL_SLUGS = r"""
-WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[^0-9A-Za-z\x{4E00}-\x{9FFF}]+', '-', 'g'), '-') AS sl FROM documents)
-SELECT doc_id, CASE WHEN sl = '' THEN 'item' ELSE sl END AS slug FROM s
-"""
-
-
 def text_layer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents(spark, sf_dir).select("doc_id", T.text_layer_quality(F.col("text")).alias("q")).select("doc_id", "q.*")
     return found.withColumns({"suspects_per_1k_cjk": F.round("suspects_per_1k_cjk", 6), "latin1_ratio": F.round("latin1_ratio", 6), "reason_codes": F.array_join("reason_codes", ",")})
@@ -423,9 +368,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "term_document_frequency": (term_document_frequency, SQL_DF),
     "lexical_score_topk": (lexical_score_topk, SQL_LEXICAL),
     "prefix_and_match": (prefix_and_match, SQL_MATCH),
-    "sparse_cosine_topk": (sparse_cosine_topk, SQL_SPARSE),
     "feature_document_frequency": (feature_document_frequency, SQL_FEATURE_DF),
-    "dense_cosine_topk": (dense_cosine_topk, SQL_DENSE),
     "dense_cosine_search": (dense_cosine_search, SQL_DENSE_SEARCH),
     "sparse_cosine_search": (sparse_cosine_search, SQL_SPARSE_SEARCH),
     "hybrid_rank_fusion": (hybrid_rank_fusion, SQL_FUSION),
@@ -433,6 +376,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "stable_ids": (stable_ids, SQL_IDS),
     "identifier_extraction": (identifier_extraction, SQL_NAMES),
     "normalized_text": (normalized_text, SQL_NORMALIZED),
-    "full_text_slugs": (full_text_slugs, SQL_SLUGS),
     "text_layer_quality": (text_layer_quality, SQL_LAYER),
 }

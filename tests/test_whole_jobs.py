@@ -46,5 +46,5 @@ def test_slugs_are_of_whole_texts(spark, tmp_path):
     same = "word " * 12
     docs = [(1, same + "one"), (2, same + "two"), (3, "!!"), (4, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.slug for r in rows(spark, tmp_path, "full_text_slugs")}
+    got = {r.doc_id: r.slug for r in rows(spark, tmp_path, "normalized_text")}
     assert got == {1: "word-" * 12 + "one", 2: "word-" * 12 + "two", 3: "item", 4: None}
