@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ RARE_BREAKS, RARE_BLANKS = r"\x{2028}\x{2029}", r"\x{1680}\x{2000}-\x{200A}\x{20
 ASCII_TOKEN = r"[a-z0-9_./=-]+"
 MEMORY_TOKEN = r"[a-z0-9_./-]+"
 CJK_RUN = r"[一-鿿]+"
+ALNUM = string.digits + string.ascii_letters
 CLAUSE_BREAK = r"[，,。；;：:\n]+"
 
 
@@ -45,8 +47,13 @@ def normalized(text: str) -> str:
 
 
 def slugify(value: Column, fallback: str = "item") -> Column:
-    slug = F.regexp_replace(F.regexp_replace(value, r"[^0-9A-Za-z一-鿿]+", "-"), "^-+|-+$", "")
-    return F.when(slug == "", fallback).otherwise(slug)
+    """Each run of other characters than ASCII letters, digits and CJK as one dash, none at either end; null stays null."""
+
+    def dashed(kept: str) -> Column:
+        return F.trim(F.regexp_replace(value, f"[^{kept}]+", "-"), F.lit("-"))
+
+    # Single characters are a bit set to the regex engine, ranges aren't; the fallback's test ends at the first one kept.
+    return F.when(value.rlike(CJK_RUN), dashed(ALNUM + "一-鿿")).when(value.rlike("[0-9A-Za-z]"), dashed(ALNUM)).when(value.isNotNull(), fallback)
 
 
 def as_text(part: Column | str | bool | int | None, kind: str = "string") -> Column:
