@@ -58,6 +58,11 @@ REGISTRY = [
 BLOCK_TYPES = ("heading", "paragraph", "table", "code")
 LEAST_DOCUMENT, LEAST_PAGE, MOST_BLOCK, LEAST_CHUNK, MOST_CHUNK, MOST_WARNINGS = 40, 10, 20_000, 10, 8_000, 10
 BLOCKING = ("quarantine", "block_document", "block_release")
+HARD = {code: hard for code, _, _, hard in REGISTRY}
+# What a signal is worth by whether its code is hard; the schema of canonical documents.
+CONFIDENCE = {True: 1.0, False: 0.75}
+SCHEMA_VERSION = "layer1.processed.v1"
+SIDECARS = ("canonical", "chunks", "processing_record", "quality_record")
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -69,6 +74,7 @@ def signal(rows: DataFrame, code: str, object_id: Column | str, *, actual: Colum
     evidence = F.array().cast("array<string>") if evidence is None else evidence
     picked = F.col(object_id) if isinstance(object_id, str) else object_id
     out = rows.select(F.lit(code).alias("reason_code"), F.lit(code.split(".")[0]).alias("scope"), F.col(version).alias("document_version_id"), picked.alias("object_id"), actual.alias("actual_value"), evidence.alias("evidence_ids"))
+    out = out.withColumn("confidence", F.lit(CONFIDENCE[HARD[code]]))
     return out.withColumn("signal_id", stable_id("signal", F.col("document_version_id"), F.col("reason_code"), F.col("object_id"), F.col("actual_value")))
 
 
@@ -159,6 +165,52 @@ def chunk_signals(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def release_signals(versions: DataFrame) -> DataFrame:
+    """One signal where there are no versions at all."""
+    tree = F.lit("processed-tree")
+    none = versions.agg(F.count("*").alias("n")).filter("n = 0").withColumn("document_version_id", tree)
+    return signal(none, "release.integrity.no_documents", tree, actual=F.col("n"))
+
+
+def sidecar_signals(versions: DataFrame, sidecars: DataFrame, kinds: Sequence[str] = SIDECARS) -> DataFrame:
+    """Files of a version that are missing, aren't valid, or are records of another version.
+
+    sidecars: document_version_id, kind, json; a row a file, of JSON lines a row a line. A file without a row, or with
+    null for its json, is missing. Blank lines count as there but aren't read. All else that isn't an object is invalid.
+    """
+    v = "document_version_id"
+    text = F.trim(F.coalesce("json", F.lit("")), F.lit(" \t\r\n"))
+    is_object = F.json_object_keys(text).isNotNull()
+    blank = (F.col("kind") == "chunks") & (text == "")
+    bad = ~blank & ~is_object
+    stated = F.coalesce(F.get_json_object("json", f"$.{v}"), F.lit(""))
+    alien = is_object & F.col("kind").isin("processing_record", "quality_record") & (stated != F.col(v))
+    found = sidecars.filter(F.col("json").isNotNull() & F.col("kind").isin(*kinds)).groupBy(v, "kind").agg(F.bool_or(bad).alias("bad"), F.min(F.when(alien, stated)).alias("alien"))
+    every = versions.select(v).distinct().withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    seen = every.join(found, [v, "kind"], "left")
+    parts = []
+    for kind in kinds:
+        rows = seen.filter(F.col("kind") == kind)
+        parts.append(signal(rows.filter("bad is null"), f"document.integrity.{kind}_missing", v, actual=F.lit("False")))
+        parts.append(signal(rows.filter("bad"), f"document.integrity.{kind}_invalid", v, actual=F.lit("False")))
+    parts.append(signal(seen.filter("alien is not null"), "document.integrity.document_version_mismatch", v, actual=F.col("alien")))
+    return united(parts)
+
+
+def mismatch_signals(rows: DataFrame, scope: str, stated: str = "stated_version_id") -> DataFrame:
+    """Blocks, chunks or evidence (scope page) that state another version than the one they stand in; null states none.
+
+    rows: document_version_id, the stated version, and block_id; chunk_id and evidence_ids; or evidence_id and page.
+    """
+    other = rows.filter(F.coalesce(stated, F.lit("")) != F.col("document_version_id"))
+    said = F.coalesce(stated, F.lit(""))
+    code = f"{scope}.integrity.document_version_mismatch"
+    if scope == "page":
+        at = F.when(F.col("page") > 0, F.concat_ws(":page:", "document_version_id", "page")).otherwise(F.coalesce("evidence_id", "document_version_id"))
+        return signal(other, code, at, actual=said, evidence=F.array_compact(F.array("evidence_id")))
+    return signal(other, code, f"{scope}_id", actual=said, evidence=F.col("evidence_ids") if scope == "chunk" else None)
+
+
 def check_policy(policy: Sequence[tuple[str, str, str]]) -> None:
     """A policy names every registered code once and no other."""
     codes, known = [p[0] for p in policy], {r[0] for r in REGISTRY}
@@ -250,3 +302,44 @@ def contract_issues(sections: DataFrame, blocks: DataFrame, evidence: DataFrame,
             issue(versions.join(chunks.select(v).distinct(), v, "left_anti"), "no_chunks", v),
         ]
     )
+
+
+def canonical_issues(documents: DataFrame, schema_version: str = SCHEMA_VERSION) -> DataFrame:
+    """documents: path, json, a canonical document each. Its schema version and its quality report, severity and code a row.
+
+    Null or broken JSON counts as an empty object. Blanks alone are no version and no status; a score must be a number.
+    """
+    at = lambda p: normalize_space(F.coalesce(F.get_json_object("json", p), F.lit("")))
+    version, report_, status, score = at("$.schema_version"), at("$.parse_report.quality_report"), at("$.parse_report.quality_report.status"), at("$.parse_report.quality_report.score")
+    is_object = F.json_object_keys(report_).isNotNull()
+    issue = lambda when, severity, code: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
+    found = F.array_compact(
+        F.array(
+            issue(version == "", "error", "missing_schema_version"),
+            issue((version != "") & (version != schema_version), "error", "unsupported_schema_version"),
+            issue(~is_object, "error", "missing_quality_report"),
+            issue(is_object & (status == ""), "error", "missing_quality_status"),
+            issue(is_object & score.try_cast("double").isNull(), "warning", "missing_quality_score"),
+        )
+    )
+    return documents.select("path", F.inline(found))
+
+
+def chunk_line_issues(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """files: path, document_version_id; lines: path, line, json. Lines that are no objects or of another version; files without lines.
+
+    line is null for a whole file; blank lines are skipped. Broken JSON and JSON of another kind have codes of their own.
+    """
+    text = F.trim("json", F.lit(" \t\r\n"))
+    kept = lines.filter(text != "").join(files, "path")
+    value = F.try_parse_json(text)
+    is_object = F.json_object_keys(text).isNotNull()
+    stated = F.coalesce(F.get_json_object(text, "$.document_version_id"), F.lit(""))
+    code = (
+        F.when(value.isNull(), "invalid_chunk_json")
+        .when(~is_object, "invalid_chunk")
+        .when(stated != F.col("document_version_id"), "chunk_document_version_mismatch")
+    )
+    bad = kept.select("path", F.col("line").cast("long").alias("line"), code.alias("code")).filter("code is not null")
+    empty = files.join(kept.select("path").distinct(), "path", "left_anti")
+    return bad.unionByName(empty.select("path", F.lit(None).cast("long").alias("line"), F.lit("empty_chunks_jsonl").alias("code")))

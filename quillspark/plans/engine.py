@@ -89,6 +89,59 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_FINGERPRINT = "SELECT lang, count(*) AS n, sha256(sum(('0x' || substr(sha256(text), 1, 8))::BIGINT)::BIGINT || ':' || sum(('0x' || substr(sha256(text), 9, 8))::BIGINT)::BIGINT) AS fingerprint FROM documents GROUP BY lang"
 
+def record_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose quality record is missing, invalid or another's; a label's row is its document's record."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id"))
+    versions = _table(spark, sf_dir, "documents").select(name.alias("document_version_id"))
+    record = F.to_json(F.struct(name.alias("document_version_id"), "quality"))
+    records = _table(spark, sf_dir, "labels").select(name.alias("document_version_id"), F.lit("quality_record").alias("kind"), record.alias("json"))
+    found = Q.sidecar_signals(versions, records, ["quality_record"]).unionByName(Q.release_signals(versions))
+    return found.select("reason_code", "object_id", "actual_value", "confidence", "signal_id")
+
+
+SQL_RECORDS = """
+WITH m AS (SELECT DISTINCT 'doc-' || doc_id AS object_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT 'document.integrity.quality_record_missing' AS reason_code, object_id, 'False' AS actual_value, 1.0::DOUBLE AS confidence,
+       'signal_' || substr(sha256(object_id || chr(10) || 'document.integrity.quality_record_missing' || chr(10) || object_id || chr(10) || 'False'), 1, 16) AS signal_id
+FROM m
+"""
+
+
+def canonical_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of JSON documents: a row's language stands for its schema version (en is known), its source for the report's status."""
+    quality = F.struct(F.col("source").alias("status"), F.when(F.col("n_chars") >= 40, F.col("n_chars")).alias("score"))
+    whole = F.to_json(F.struct(F.col("lang").alias("schema_version"), F.struct(quality.alias("quality_report")).alias("parse_report")))
+    return Q.canonical_issues(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), whole.alias("json")), "en")
+
+
+SQL_CANONICAL = """
+WITH d AS (SELECT doc_id AS path, trim(coalesce(lang, '')) AS v, trim(coalesce(source, '')) AS s, n_chars FROM documents)
+SELECT path, 'error' AS severity, 'missing_schema_version' AS code FROM d WHERE v = ''
+UNION ALL SELECT path, 'error', 'unsupported_schema_version' FROM d WHERE v NOT IN ('', 'en')
+UNION ALL SELECT path, 'error', 'missing_quality_status' FROM d WHERE s = ''
+UNION ALL SELECT path, 'warning', 'missing_quality_score' FROM d WHERE n_chars IS NULL OR n_chars < 40
+"""
+
+
+def chunk_line_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of JSON lines: a conversation stands for a file, a user's turn for a line that states turn 0's version, others for raw lines."""
+    turns = _table(spark, sf_dir, "conversations")
+    version = F.concat_ws("-", F.col("conv_id").cast("string"), F.when(F.col("role") == "user", F.least("turn", F.lit(1)))).alias("document_version_id")
+    line = F.when(F.col("role") == "user", F.to_json(F.struct(version))).otherwise(F.col("text"))
+    files = turns.select(F.col("conv_id").alias("path"), F.concat(F.col("conv_id").cast("string"), F.lit("-0")).alias("document_version_id")).distinct()
+    return Q.chunk_line_issues(files, turns.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), line.alias("json")))
+
+
+SQL_LINES = r"""
+WITH t AS (SELECT conv_id AS path, turn AS line, role, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS x FROM conversations), k AS (
+  SELECT path, line, CASE WHEN role = 'user' AND turn >= 1 THEN 'chunk_document_version_mismatch' WHEN role = 'user' THEN NULL
+         WHEN NOT json_valid(x) THEN 'invalid_chunk_json' WHEN json_type(x) <> 'OBJECT' THEN 'invalid_chunk' ELSE 'chunk_document_version_mismatch' END AS code
+  FROM t WHERE role = 'user' OR x <> ''
+)
+SELECT path, line::BIGINT AS line, code FROM k WHERE code IS NOT NULL
+UNION ALL SELECT DISTINCT path, NULL::BIGINT, 'empty_chunks_jsonl' FROM t WHERE path NOT IN (SELECT path FROM k)
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "html_blocks": (html_blocks, None),
     "markdown_blocks": (markdown_blocks, None),
@@ -99,4 +152,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "text_facts": (text_facts, None),
     "event_windows": (event_windows, SQL_EVENTS),
     "content_fingerprint": (content_fingerprint, SQL_FINGERPRINT),
+    "record_signals": (record_signals, SQL_RECORDS),
+    "canonical_contract": (canonical_contract, SQL_CANONICAL),
+    "chunk_line_contract": (chunk_line_contract, SQL_LINES),
 }

@@ -75,10 +75,15 @@ class Workspace:
         return Q.contract_issues(self.table("sections"), self.table("blocks"), self._evidence(), self.table("chunks"), self.table("versions"))
 
     def evaluate_quality(self, policy: Sequence[tuple[str, str, str]] | None = None) -> DataFrame:
-        versions = self.table("versions").select("document_version_id", F.lit(0).alias("warnings"), F.lit(False).alias("fallback_used"), F.when(F.col("error").startswith("unsupported"), "unsupported").when(F.col("error").isNotNull(), "failed").alias("error"))
-        blocks = self.table("blocks").withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
-        evidence, chunks = self._evidence(), self.table("chunks")
-        signals = Q.united([Q.document_signals(versions, blocks, chunks, evidence), Q.block_signals(blocks, evidence), Q.chunk_signals(chunks, evidence)])
+        """Decisions on all signals. Versions may carry warnings (a count), fallback_used and page_count, blocks their pages; where they don't, nothing is said of these."""
+        versions, blocks = self.table("versions"), self.table("blocks")
+        optional = {"warnings": F.lit(0), "fallback_used": F.lit(False), "page_count": F.lit(None).cast("int")}
+        versions = versions.withColumns({name: F.coalesce(name, value) if name in versions.columns else value for name, value in optional.items()})
+        versions = versions.select("document_version_id", *optional, F.when(F.col("error").startswith("unsupported"), "unsupported").when(F.col("error").isNotNull(), "failed").alias("error"))
+        blocks = blocks.withColumns({name: F.lit(None).cast("int") for name in ("page_start", "page_end") if name not in blocks.columns})
+        evidence = blocks.select("document_version_id", "evidence_id", "block_id", "text", "text_hash", F.col("page_start").alias("page"))
+        chunks = self.table("chunks")
+        signals = Q.united([Q.release_signals(versions), Q.document_signals(versions, blocks, chunks, evidence), Q.page_signals(versions, blocks, evidence), Q.block_signals(blocks, evidence), Q.chunk_signals(chunks, evidence)])
         return self._write(Q.decisions(signals, policy), "decisions")
 
     def excluded_chunks(self) -> DataFrame:

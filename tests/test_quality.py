@@ -68,3 +68,47 @@ def test_policy_must_be_whole():
 def test_missing_is_not_null(spark):
     lines = spark.createDataFrame([("p", 1, '{"evidence_id":null,"document_version_id":"v","block_id":"b","text":"t"}'), ("p", 2, "{broken")], "path string, line int, json string")
     assert sorted((r.line, r.code, r.field) for r in Q.missing_fields(lines, "evidence").collect()) == [(1, "evidence_missing_field", "text_hash"), (2, "evidence_invalid_json", "")]
+
+
+def test_records_and_versions(spark):
+    versions = spark.createDataFrame([("v1",), ("v2",)], "document_version_id string")
+    ok = '{"document_version_id": "%s"}'
+    files = [("v1", k, ok % "v1") for k in Q.SIDECARS] + [("v1", "chunks", "  ")]
+    assert codes(Q.sidecar_signals(versions.limit(1), spark.createDataFrame(files, "document_version_id string, kind string, json string"))) == []
+    files += [("v2", "canonical", "[1]"), ("v2", "chunks", ok % "v2"), ("v2", "chunks", "{broken"), ("v2", "processing_record", ok % "v1"), ("v2", "quality_record", None)]
+    found = Q.sidecar_signals(versions, spark.createDataFrame(files, "document_version_id string, kind string, json string"))
+    want = ["canonical_invalid", "chunks_invalid", "document_version_mismatch", "quality_record_missing"]
+    assert codes(found) == [(f"document.integrity.{c}", "v2") for c in want]
+    assert {r.actual_value for r in found.filter("reason_code like '%mismatch'").collect()} == {"v1"}
+    assert {r.confidence for r in found.collect()} == {1.0}
+    assert codes(Q.release_signals(versions)) == []
+    assert codes(Q.release_signals(versions.limit(0))) == [("release.integrity.no_documents", "processed-tree")]
+
+
+def test_rows_of_another_version(tree):
+    _, blocks, evidence, chunks, _ = tree
+    stated = F.when(F.col("document_version_id") == "v2", "v1").otherwise(F.col("document_version_id"))
+    for rows, scope in ((blocks, "block"), (evidence, "page"), (chunks, "chunk")):
+        n = rows.filter("document_version_id = 'v2'").count()
+        assert codes(Q.mismatch_signals(rows.withColumn("stated_version_id", stated), scope)) == [(f"{scope}.integrity.document_version_mismatch", "v2")] * n
+        assert Q.mismatch_signals(rows.withColumn("stated_version_id", F.lit(None).cast("string")), scope).count() == rows.count()
+
+
+def test_canonical_contract(spark):
+    good = '{"schema_version":"layer1.processed.v1","parse_report":{"quality_report":{"status":"ok","score":"91.5"}}}'
+    rows = [("a", good), ("b", good.replace("v1", "v9").replace("91.5", "high")), ("c", good.replace('"ok"', '" "')), ("d", "{broken"), ("e", None), ("f", '{"schema_version":null,"parse_report":{"quality_report":[1]}}')]
+    found = Q.canonical_issues(spark.createDataFrame(rows, "path string, json string"))
+    empty = [("error", "missing_quality_report"), ("error", "missing_schema_version")]
+    want = {"b": [("error", "unsupported_schema_version"), ("warning", "missing_quality_score")], "c": [("error", "missing_quality_status")], "d": empty, "e": empty, "f": empty}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.path, []).append((r.severity, r.code))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_chunk_lines(spark):
+    files = spark.createDataFrame([("p", "v"), ("q", "v")], "path string, document_version_id string")
+    lines = ['{"document_version_id":"v"}', "", "{broken", "[1, 2]", '{"document_version_id":"w"}', "{}"]
+    rows = spark.createDataFrame([("p", n, x) for n, x in enumerate(lines, 1)] + [("q", 1, "  "), ("q", 2, None)], "path string, line int, json string")
+    other = "chunk_document_version_mismatch"
+    assert sorted((r.path, r.line or 0, r.code) for r in Q.chunk_line_issues(files, rows).collect()) == [("p", 3, "invalid_chunk_json"), ("p", 4, "invalid_chunk"), ("p", 5, other), ("p", 6, other), ("q", 0, "empty_chunks_jsonl")]
