@@ -25,10 +25,11 @@ def table_cell(value: object) -> str:
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A report's table as Markdown: at most limit rows of a result that is already a summary."""
-    rows = df.limit(limit).collect()
-    lines = [df.columns, ["---"] * len(df.columns), *rows]
-    return "\n".join("| " + " | ".join(map(table_cell, line)) + " |" for line in lines)
+    """A report's table as Markdown: at most limit rows of a result that is already a summary; a last line says so where there are more."""
+    rows = df.limit(limit + 1).collect()
+    lines = [df.columns, ["---"] * len(df.columns), *rows[:limit]]
+    table = "\n".join("| " + " | ".join(map(table_cell, line)) + " |" for line in lines)
+    return table + (f"\n\nOnly {limit} rows are shown; there are more." if len(rows) > limit else "")
 
 
 def pretty_json(value: object) -> str:

@@ -44,6 +44,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df.drop("a"), str(tmp_path / "c"), ["n", "missing", "z"])
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True).select(F.col("n"), F.col("missing")).collect()] == [("1", None)]
     assert sinks.markdown_table(df) == "| n | a | z |\n| --- | --- | --- |\n| 1 | a\\|b c |  |"
+    assert sinks.markdown_table(df.union(df).union(df), limit=2).endswith(" |\n\nOnly 2 rows are shown; there are more.")
+    assert "shown" not in sinks.markdown_table(df.union(df), limit=2)
     assert sinks.pretty_json({"b": 1, "a": "é"}) == '{\n  "a": "é",\n  "b": 1\n}'
 
 
