@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, numbered, written
+from .common import free_names, numbered, tidied, written
 
 GAP = b" " * 16
 MAX_BYTES = 256
@@ -126,6 +126,7 @@ def encoded(texts: list[str | None]) -> list[bytes]:
 def chunk_digests(documents: DataFrame, *, mean_words: int) -> DataFrame:
     """digest and doc_id of the distinct chunks of every document."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -198,6 +199,7 @@ def dedup_substrings(documents: DataFrame, *, mean_words: int = 5, min_words: in
     joined = own.join(listed.withColumnRenamed("doc_id", key), key, "left").select(*kept, "copies")
     schema = ", ".join([*(f"{c} {t}" for c, t in own.dtypes), ADDED_SQL])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 500):

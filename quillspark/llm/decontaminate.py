@@ -11,8 +11,9 @@ Words are found as whole strings in the benchmark's own vocabulary, so nothing d
 
 Memory. Items are dealt into blocks whose index takes about block_bytes (long items as pieces that overlap by
 a window less a word, so every window lies in one piece). One block at a time is on the driver and shared; its
-hits are written before the next one is read, so neither driver nor tasks ever hold two. A benchmark of one
-block marks documents in a single map; for more, hits are kept by the digest of a text and join the documents.
+hits are written before the next one is read, so neither driver nor tasks ever hold two. Beside it a task holds the
+words of one slice of a batch: a text, or several of 1 MB together. A benchmark of one block marks documents in a
+single map; for more, hits are kept by the digest of a text and join the documents.
 
 Defined results: null and empty texts have no words and no hits; null item ids are ignored, as are items
 without words; repeated rows each get a row and equal items count once for each item_id; columns that aren't kept are
@@ -33,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, numbered, received, share, written
+from .common import free_names, in_slices, numbered, received, share, tidied, written
 
 #: Bytes that part words (in UTF-8) as a space, capitals as small letters.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -193,11 +194,12 @@ def count_shingles(documents: DataFrame, text: str, index: WindowIndex) -> dict[
         return {}
     shared = share(documents.sparkSession, (index.vocabulary, keys))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, keys = received(shared)
         index = WindowIndex(vocabulary, np.zeros(0, np.int32), [], {})
         totals = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 0)):
             # Texts are joined by a word outside the vocabulary, so no shingle spans two of them.
             ids = index.ids_of(b" \xff ".join(t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist() if t).translate(TABLE).split())
             for k, v in keys.items():
@@ -221,6 +223,7 @@ def count_shingles(documents: DataFrame, text: str, index: WindowIndex) -> dict[
 def dealt_pieces(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int]:
     """item, words and block of the items' pieces, and how many blocks there are; of several, the pieces are written once."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -277,9 +280,10 @@ def text_digest(text: str | None) -> bytes:
 def _one_block(rows: DataFrame, index: WindowIndex, kept: list[str], text: str, schema: str) -> DataFrame:
     shared = share(rows.sparkSession, index)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = received(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, text)):
             n_words, items, spans = [], [], []
             for t in batch.column(text).to_pylist():
                 words = words_of(t)
@@ -296,9 +300,10 @@ def _block_hits(rows: DataFrame, index: WindowIndex, text: str) -> DataFrame:
     """digest, items and spans of the texts with hits, each text once, as a written table."""
     shared = share(rows.sparkSession, index)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = received(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, 0)):
             digests, items, spans = [], [], []
             for t in batch.column(0).to_pylist():
                 covered, found = index.hits(index.ids_of(words_of(t)))
@@ -317,12 +322,14 @@ def _block_hits(rows: DataFrame, index: WindowIndex, text: str) -> DataFrame:
 def _joined(rows: DataFrame, hits: DataFrame, kept: list[str], text: str, kept_schema: list[str], schema: str) -> DataFrame:
     """rows with the hits of all blocks, which hold a text once each."""
 
+    @tidied
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, text)):
             texts = batch.column(text).to_pylist()
             digests, n = pa.array(map(text_digest, texts), pa.binary()), pa.array([len(words_of(t)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), digests, n], names=[*kept, "digest", "n_words"])
 
+    @tidied
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, spans = ([x or [] for x in batch.column(c).to_pylist()] for c in ("items", "spans"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tidied, written
 from .components import connected_components
 
 U = np.uint64
@@ -113,6 +113,7 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketch_documents(documents: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set and the keys of its bands."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
@@ -177,6 +178,7 @@ def compared(tests: DataFrame, texts: DataFrame, *, shingle: int, percent: int)
     """tests: k1, k2, left, id, component. Links (a, b) of components between the left and the other members of each (k1, k2)."""
     rows = tests.join(texts, "id").select("k1", "k2", (~F.col("left")).alias("right"), "id", "component", "text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held, left, right, found, size = None, [], [], [], 0

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, received, share, with_scores
+from .common import labelled_sample, received, share, tidied, with_scores
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -233,6 +233,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, *, threshold: flo
     shared = share(documents.sparkSession, model)  # bounded by max_features
 
     @F.pandas_udf("double")
+    @tidied
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = received(shared).scorer()
         for texts in batches:

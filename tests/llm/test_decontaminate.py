@@ -112,3 +112,19 @@ def test_kept_columns_with_names_of_added_ones(spark):
         out = mark_contaminated(docs, bench, keep=["doc_id", "n_hit", "items", "Contaminated"], block_bytes=size)
         assert out.columns == ["doc_id", "n_hit", "items", "Contaminated", "n_words", "n_hit_", "n_items", "items_sha256", "contaminated_"]
         assert {(r.doc_id, r.n_hit, r.n_hit_, r.contaminated_) for r in out.collect()} == {(1, "x", 40, True), (2, "x", 0, False)}
+
+
+def test_words_of_a_slice_at_a_time(spark, monkeypatch):
+    """Spark's batches have 10,000 rows; the words of so many texts would fill a worker."""
+    found = decontaminate.WindowIndex.ids_of
+
+    def bounded(self, words):
+        if len(words) > 500 * 101:
+            raise MemoryError(f"{len(words)} words at once")
+        return found(self, words)
+
+    monkeypatch.setattr(decontaminate.WindowIndex, "ids_of", bounded)
+    docs = [(n, f"{LONG} " + f"t{n} " * 60) for n in range(1200)]
+    for size in (64 << 20, 2000):
+        out = mark_contaminated(documents(spark, docs).coalesce(1), spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=size).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit) for r in out) == [(n, 100, 40) for n in range(1200)]
