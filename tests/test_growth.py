@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators import documents as D
+from quillspark.operators import retrieval as R
 from quillspark.sources import parsers
 
 
@@ -14,3 +17,20 @@ def test_blocks_leave_python_slice_by_slice(spark):
     got = sorted(map(tuple, found.collect()))
     want = [(n, k, *b) for n, html, kind in pages if kind in parsers.PARSERS for k, b in enumerate(parsers.PARSERS[kind](html or ""), 1)]
     assert got == sorted((n, k, b, x, v) for n, k, b, x, v in want) and len(got) > 3600
+
+
+def test_runs_of_chunks_without_windows(spark):
+    """Runs made within a document's row are those of a table of chunks; of two runs with one id the shortest holds."""
+    text = "# A\n\nalpha beta gamma\n\n# B\n\nother words here\n\n# A\n\nalpha beta gamma\n\n# C\n\nlast of the words"
+    docs = spark.createDataFrame([("v1", text), ("v2", "# One\n\n" + "word " * 900 + "\n\n# Two\n\nshort text of it"), ("v3", None)], "document_version_id string, text string")
+    both = D.chunk_documents(docs, windows=True)
+    runs = D.chunk_documents(docs, windows=False)
+    table = R.merged_windows(D.chunk_documents(docs).withColumn("section_titles", F.array().cast("array<string>")))
+    columns = ["document_version_id", "chunk_id", "text", "section_path", "evidence_ids"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(runs) == rows(both.filter("chunk_ord is null")) == rows(table) and rows(both.filter("chunk_ord is not null")) == rows(D.chunk_documents(docs))
+    assert "Window" not in runs._jdf.queryExecution().toString() and "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    chunks = [{"chunk_id": i, "text": i, "section_path": [str(n)], "evidence_ids": [str(n)]} for n, i in enumerate("abac")]
+    twice = [r for r in D.runs("v", chunks) if r["chunk_id"] == T.stable_id_of("chunkmerge", "v", "a", "c")]
+    assert [r["text"] for r in twice] == ["a\n\nc"]
+    assert D.runs("v", chunks * 301) == [] and len(D.runs("v", chunks * 300)) > 0
