@@ -5,8 +5,38 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.operators import retrieval as R
+from quillspark.plans import engine
 from quillspark.sources import parsers
 
+ODD = [
+    "", " \n\t ", "plain", "Shall we? must not.", "- a\n* b\n - c", "1.2 Scope\n2.3.4 应 do", "目录\n1 总则\n2 范围\n3 术语\n4 要求\n5 附录\n附录 A", "附录 A 应采取措施", "Appendix B", "page 12", "PAGE\n7",
+    "a b c d e f g h", "_x y", "GET /a\nfeature flag 回滚", "contents\npage 3\n1 A\n2 B\n3 C\n4 D\n5 E", "出境数据应评估。不得\n必须\n\nrequired", "x-y z_1 如果", "１.2 é", "　wide blank",
+]
+
+
+def test_unit_scores_in_python_are_those_of_the_expressions(spark):
+    rows = [(n, t, title, [title, leaf]) for n, (t, title, leaf) in enumerate((t, title, leaf) for t in ODD for title, leaf in (("plain", "Appendix B"), ("Doc", "page 12")))]
+    frame = spark.createDataFrame(rows, "n int, text string, title string, titles array<string>")
+    x, titles = F.col("text"), F.col("titles")
+    thin = R.thinness(x, F.col("title"), titles, F.lit(None))
+    got = {r.n: r for r in frame.select("n", R.coherence(x).alias("c"), R.structure(x).alias("s"), R.evidence_quality(x, titles).alias("e"), R.contents_list(x).alias("l"), thin.alias("t")).collect()}
+    for n, text, title, heads in rows:
+        plain = T.normalized(text)
+        low = plain.lower()
+        want = (R.coherence_of(plain), R.structure_of(text, low), R.evidence_quality_of(plain, heads), R.contents_list_of(plain), R.thinness_of(text, plain, low, T.normalized(title).lower(), T.normalized(heads[-1]).lower()))
+        assert [round(float(v), 6) for v in (got[n].c, got[n].s, got[n].e, got[n].l, got[n].t)] == [round(float(v), 6) for v in want], (text, heads)
+
+
+def test_context_pack_stores_neither_tokens_nor_chunks(spark, sf_dir, monkeypatch):
+    """One table of units with their facts, as large as the text; before, token arrays and chunks were written too."""
+    tables = []
+    keep = lambda df, label: tables.append((label, df.columns)) or df.cache()
+    monkeypatch.setattr(R, "stored", keep, raising=False)
+    monkeypatch.setattr(engine, "stored", keep)
+    engine.context_pack(spark, sf_dir)
+    spark.catalog.clearCache()
+    assert [label for label, _ in tables] == ["facts"] and "tokens" not in tables[0][1]
+
 
 def test_blocks_leave_python_slice_by_slice(spark):
     """No column of arrays holds a batch's blocks before they become rows."""
