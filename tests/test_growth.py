@@ -64,3 +64,17 @@ def test_runs_of_chunks_without_windows(spark):
     twice = [r for r in D.runs("v", chunks) if r["chunk_id"] == T.stable_id_of("chunkmerge", "v", "a", "c")]
     assert [r["text"] for r in twice] == ["a\n\nc"]
     assert D.runs("v", chunks * 301) == [] and len(D.runs("v", chunks * 300)) > 0
+
+
+def test_text_layers_are_counted_without_regular_expressions(spark):
+    texts = [*ODD, None, "ÃÂÿ" * 20, "é" * 30, "汉字" * 15 + "ÃÃÃ", "ひらカタ", "𝒳" * 50, "a b\x85c 　 d"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    found = frame.select("n", T.text_layer_quality(F.col("text")).alias("q"))
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = T.normalize_space(F.coalesce("text", F.lit("")))
+    cjk, latin1 = T.count_class(plain, "一-鿿"), T.count_class(plain, T.LATIN1_MOJIBAKE)
+    want = frame.select("n", F.length(plain), cjk, latin1 + T.count_class(plain, "぀-ゟ゠-ヿ"), F.when(F.length(plain) > 0, latin1 / F.length(plain)).otherwise(0.0))
+    got = found.select("n", "q.char_count", "q.cjk_count", "q.suspect_count", "q.latin1_ratio")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    reasons = {r.n: list(r.q.reason_codes) for r in found.collect()}
+    assert [reasons[n] for n in range(len(ODD), len(texts))] == [["text_too_short"], ["latin1_mojibake_ratio_high"], ["text_too_short"], ["text_too_short", "mojibake_suspect_ratio_high"], ["text_too_short"], [], ["text_too_short"]]
