@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
+from quillspark.operators import quality as Q
 from quillspark.operators import retrieval as R
 from quillspark.plans import engine
 from quillspark.sources import parsers
@@ -78,3 +79,14 @@ def test_text_layers_are_counted_without_regular_expressions(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     reasons = {r.n: list(r.q.reason_codes) for r in found.collect()}
     assert [reasons[n] for n in range(len(ODD), len(texts))] == [["text_too_short"], ["latin1_mojibake_ratio_high"], ["text_too_short"], ["text_too_short", "mojibake_suspect_ratio_high"], ["text_too_short"], [], ["text_too_short"]]
+
+
+def test_signals_normalise_each_text_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(Q, "normalize_space", lambda c: calls.append(1) or T.normalize_space(c))
+    docs = spark.createDataFrame([("v1", "# A\n\nsame words here\n\n# B\n\nsame  words here\n\n# A\n\nx"), ("v2", "# A\n\nsame words here")], "document_version_id string, text string")
+    blocks = D.canonical(docs).withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+    chunks = D.chunk_documents(docs, min_chars=1)
+    signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(chunks, blocks))
+    found = sorted((r.reason_code, r.document_version_id, r.actual_value) for r in signals.collect())
+    assert len(calls) == 2 and found == [("block.content.duplicate", "v1", None)] * 2 + [("chunk.content.too_short", "v1", "3")]
