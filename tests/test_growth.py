@@ -1,12 +1,15 @@
 """Queries whose time or memory grew faster than their input: what they hold at a time, and the same results."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.operators import quality as Q
 from quillspark.operators import retrieval as R
-from quillspark.plans import engine
+from quillspark.plans import CATALOG, engine, search
 from quillspark.sources import parsers
 
 ODD = [
@@ -90,3 +93,23 @@ def test_signals_normalise_each_text_once(spark, monkeypatch):
     signals = Q.block_signals(blocks, blocks).unionByName(Q.chunk_signals(chunks, blocks))
     found = sorted((r.reason_code, r.document_version_id, r.actual_value) for r in signals.collect())
     assert len(calls) == 2 and found == [("block.content.duplicate", "v1", None)] * 2 + [("chunk.content.too_short", "v1", "3")]
+
+
+def test_sparse_search_shuffles_rare_features_alone(spark, sf_dir, monkeypatch):
+    """Common features meet their frequencies without a shuffle; the hits are the same, however few count as common."""
+    found = lambda: sorted(map(tuple, CATALOG["sparse_cosine_search"][0](spark, sf_dir).collect()))
+    plan = CATALOG["sparse_cosine_search"][0](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    want = found()
+    monkeypatch.setattr(search, "COMMON", 50)
+    assert found() == want
+    monkeypatch.setattr(search, "LONGEST_COMMON", 0)
+    assert found() == want and len(want) >= 10
+
+
+def test_features_add_up():
+    low = "ab_cd ab cd_x 出境数据 出境数据 " + "甲乙丙丁戊己庚辛壬 long_identifier_name ab_cd"
+    got = T.features_of(low, [(re.compile("出境"), "syn:x", 1.2)])
+    assert got["ascii:ab"] == pytest.approx(1.2 + 2 * 0.7) and got["ascii:cd"] == pytest.approx(3 * 0.7) and "ascii:x" not in got
+    assert got["cjk:出境"] == 2.0 and got["cjk:出境数据"] == pytest.approx(2 * (1.6 + 1.6 + 0.4)) and got["syn:x"] == 1.2
+    assert "cjk:甲乙丙丁戊己庚辛壬" not in got and got["ascii:long_identifier_name"] == 2.4
